@@ -27,6 +27,8 @@ from .components import connected_components
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Members of a key that one task compares at once; larger keys are cut into blocks and compared block by block.
 BLOCK = 4096
+#: So many keys over the block size are broadcast at most; more are joined by a shuffle.
+HOT_KEYS = 100_000
 #: Groups up to this size are compared by shifted copies of the whole batch, larger ones by a search from each member.
 SMALL = 16
 
@@ -155,9 +157,10 @@ def near_links(prints: DataFrame, max_bits: int = 4, block: int = BLOCK) -> Data
         # segment number, bit left out, and the other bits; both numbers stay clear of the segment's bits
         keys += [part.bitwiseAND(((1 << width) - 1) ^ (1 << j)) + F.lit((k * 64 + j) << 40) for j in range(width)]
     rows = prints.select("rep", p.alias("print"), F.explode(F.array(*keys)).alias("key"))
-    size = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = rows.join(size, "key")
-    blocks = F.ceil(F.col("n") / F.lit(block)).cast("long")
+    hot = checkpoint(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block))
+    few = hot.count() <= HOT_KEYS
+    shared = rows.join(F.broadcast(hot) if few else hot, "key", "left")
+    blocks = F.ceil(F.coalesce("n", F.lit(1)) / F.lit(block)).cast("long")
     own = F.pmod(F.xxhash64("rep"), F.col("blocks"))
     tiles = (
         shared.withColumn("blocks", blocks)

@@ -68,7 +68,7 @@ def remainder(key: Column | str, n: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % n
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, max_chars: int) -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, max_chars: int, kind: str = "int") -> DataFrame:
     """At most ``rows`` texts with their label: those whose key has the smallest hash.
 
     The order is by a hash of the key, so the sample is even over sources and the same in every run. Only keys
@@ -76,7 +76,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, m
     ``max_chars`` code points are left out of training (never out of prediction).
     """
     ids = (
-        labels.select("doc_id", F.col(label).cast("int").alias("label"))
+        labels.select("doc_id", F.col(label).cast(kind).alias("label"))
         .where(F.col("label").isNotNull() & F.col("doc_id").isNotNull())
         .orderBy(F.xxhash64(F.col("doc_id")), "doc_id")
         .limit(rows)

@@ -2,22 +2,39 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import fingerprint, simhash
+from . import fingerprint, langid, pieces, simhash
 from .common import table
 
 
+#: Folder of the public tokenizer files; the environment variable PANELSPARK_TOKENIZERS names another.
+TOKENIZERS = os.environ.get("PANELSPARK_TOKENIZERS", "/opt/tokenizers")
+
+
+def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
+    return os.path.join(TOKENIZERS, name)
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.held_out(table(spark, sf_dir, "documents"))
+
+
 def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op5_fingerprint)}
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.tokens(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_langid, op5_fingerprint, op7_pieces)}
 #: None of these operators gives its results in SQL: each is a hash sketch, a trained model or a parser. The tests
 #: in tests/llm hold them against brute force.
 ORACLES: dict[str, str] = {}

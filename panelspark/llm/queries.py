@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, langid, pieces, simhash
+from . import fingerprint, langid, pieces, quality, simhash, toxicity
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.held_out(table(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -34,7 +38,11 @@ def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.tokens(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_langid, op5_fingerprint, op7_pieces)}
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_langid, op3_quality, op5_fingerprint, op7_pieces, op8_toxicity)}
 #: None of these operators gives its results in SQL: each is a hash sketch, a trained model or a parser. The tests
 #: in tests/llm hold them against brute force.
 ORACLES: dict[str, str] = {}

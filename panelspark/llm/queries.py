@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, langid, pieces, pii, quality, simhash, toxicity
+from . import fingerprint, langid, license, pieces, pii, quality, simhash, toxicity
 from .common import table
 
 
@@ -34,6 +34,10 @@ def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op6_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.digests(table(spark, sf_dir, "documents"))
+
+
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.tokens(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -46,7 +50,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_langid, op3_quality, op5_fingerprint, op7_pieces, op8_toxicity, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_langid, op3_quality, op5_fingerprint, op6_license, op7_pieces, op8_toxicity, op10_pii)}
 #: None of these operators gives its results in SQL: each is a hash sketch, a trained model or a parser. The tests
 #: in tests/llm hold them against brute force.
 ORACLES: dict[str, str] = {}

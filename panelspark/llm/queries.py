@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, langid, license, pieces, pii, quality, simhash, toxicity
+from . import fingerprint, langid, license, mixing, pieces, pii, quality, simhash, toxicity
 from .common import table
 
 
@@ -46,11 +46,15 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "mix_epoch", "mix_key", "mix_weight")
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_langid, op3_quality, op5_fingerprint, op6_license, op7_pieces, op8_toxicity, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_langid, op3_quality, op5_fingerprint, op6_license, op7_pieces, op8_toxicity, op9_mixing, op10_pii)}
 #: None of these operators gives its results in SQL: each is a hash sketch, a trained model or a parser. The tests
 #: in tests/llm hold them against brute force.
 ORACLES: dict[str, str] = {}

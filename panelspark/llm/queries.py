@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, langid, license, mixing, pieces, pii, quality, simhash, toxicity
+from . import fingerprint, langid, license, mixing, pieces, pii, quality, simhash, toxicity, vectors
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -54,7 +58,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_langid, op3_quality, op5_fingerprint, op6_license, op7_pieces, op8_toxicity, op9_mixing, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_langid, op3_quality, op4_vectors, op5_fingerprint, op6_license, op7_pieces, op8_toxicity, op9_mixing, op10_pii)}
 #: None of these operators gives its results in SQL: each is a hash sketch, a trained model or a parser. The tests
 #: in tests/llm hold them against brute force.
 ORACLES: dict[str, str] = {}

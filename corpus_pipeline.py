@@ -1,3 +1,68 @@
+"""Cleans documents for training in five stages, each an operator of panelspark.llm."""
+
 from __future__ import annotations
-QUERIES: dict = {}
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from panelspark.llm import mixing, pieces, pii, quality, simhash
+from panelspark.llm.common import checkpoint, checkpoint_folder, table
+from panelspark.llm.queries import tokenizer_path
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the quality ranking rejects. It learns from the labels of ``sf_dir`` that lie outside the
+    held-out part; a document without text has no words to keep and is scored like any other."""
+    model = quality.fit(docs, quality.training_rows(table(spark, sf_dir, "labels")))
+    return docs.where(quality.score_column(model) >= quality.CUT)
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of smallest doc_id of each group of near-duplicates (whole rows repeated with that id
+    count once). Rows without a doc_id stay, as none can stand for its group. Only ids and fingerprints are shuffled with the groups; texts meet the decision once, by id."""
+    named = simhash.near_duplicates(docs)
+    kept = named.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id")).distinct()
+    rows = docs.join(checkpoint(kept), F.col("doc_id") == F.col("kept_id"), "left_semi")
+    rows = rows.dropDuplicates(["doc_id"]) if _repeats(docs) else rows
+    return rows.unionByName(docs.where(F.col("doc_id").isNull()))
+
+
+def _repeats(docs: DataFrame) -> bool:
+    """Whether a doc_id stands in more than one row."""
+    return bool(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count())
+
+
+def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data in the text by its kind and counts the characters anew."""
+    return pii.redacted(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats documents of small sources towards even weights; every document is read once at least."""
+    return mixing.mix(docs).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id with the number and digests of its ids, one row for each time that the mixture reads it."""
+    return pieces.tokens(docs, tokenizer_path())
+
+
+STAGES = [("quality", keep_good), ("near_duplicates", keep_one_of_each_group), ("personal_data", hide_personal_data), ("mixing", mix_sources), ("encoding", encode)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on the documents of a folder; each stage's rows are written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}/{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
+
+
+QUERIES = {"pipeline": run}
+#: Trained scores, fingerprints and merges are not expressible in SQL; tests/llm holds the stages against brute force.
+ORACLE_SQL = None
 ORACLES: dict[str, str] = {}

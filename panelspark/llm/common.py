@@ -14,11 +14,17 @@ from pyspark.sql import types as T
 STEP = 256
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the shared folder named by spark.checkpoint.dir (own folder only where none is set)."""
-    sc = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder named by spark.checkpoint.dir; a folder of our own only where none is set."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cuts the lineage in the shared folder, so that lost executors cost no more than one step."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 

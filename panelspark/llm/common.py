@@ -14,6 +14,19 @@ from pyspark.sql import types as T
 STEP = 256
 
 
+#: What a worker keeps between tasks, by key, and the keys that the present task has asked for.
+KEPT: dict = {}
+USED: set = set()
+
+
+def kept(key, build: Callable):
+    """The value of a key, built once a worker and kept as long as its tasks ask for it."""
+    USED.add(key)
+    if key not in KEPT:
+        KEPT[key] = build()
+    return KEPT[key]
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir; a folder of our own only where none is set."""
     sc = spark.sparkContext
@@ -49,7 +62,11 @@ def over_texts(make: Callable[[], Callable[[list], list[dict] | dict]], schema:
     @F.arrow_udf(fields)
     def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         to = arrow_type(fields)
+        USED.clear()
         f = make()
+        # what an earlier operator has left in this worker gives way
+        for key in KEPT.keys() - USED:
+            del KEPT[key]
         for arrays in batches:
             arrays = arrays if isinstance(arrays, tuple) else (arrays,)
             n, parts = len(arrays[0]), []

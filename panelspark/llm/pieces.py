@@ -20,14 +20,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import over_texts
+from .common import kept, over_texts
 
 #: The mark that stands for a blank.
 MARK = "▁"
 #: Letters, as a class of a pattern.
 LATIN = "A-Za-zÀ-ɏ"
-#: Parts that a worker keeps encoded; when more would be held, all but those of the texts at hand are let go.
-HELD = 500_000
+#: Parts that a worker keeps encoded; when more would be held, those that came only once are let go.
+HELD = 300_000
 #: Parts up to this length are merged side by side in arrays, longer ones one by one.
 SHORT = 24
 
@@ -56,14 +56,16 @@ class Pieces:
         lone = "" if "\n" in self.chars else "\n"
         # parts never share a merge: no piece holds a mark after another character, or a character that is in no piece
         # nor, with most vocabularies, a letter and what is no letter after it
-        letter = re.compile(f"[{LATIN}]")
+        letter, blank = re.compile(f"[{LATIN}]"), f"[ {MARK}]*"
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             self.part = re.compile(r"(?s).+")
         elif any(letter.match(p[0]) and not letter.match(p[1]) for p in self.pairs):
-            self.part = re.compile(f"{lone + '|' if lone else ''}{MARK}*[^{MARK}{lone}]+|{MARK}+")
+            self.part = re.compile(f"{lone + '|' if lone else ''}{blank}[^ {MARK}{lone}]+|[ {MARK}]+")
         else:
-            self.part = re.compile(f"{MARK}*[{LATIN}]+|{lone + '|' if lone else ''}{MARK}*[^{MARK}{lone}{LATIN}]+[{LATIN}]*|{MARK}+")
+            self.part = re.compile(f"{blank}[{LATIN}]+|{lone + '|' if lone else ''}{blank}[^ {MARK}{lone}{LATIN}]+[{LATIN}]*|[ {MARK}]+")
         self.held: dict[str, str] = {}
+        #: parts met again since the last time that parts were let go
+        self.again: set[str] = set()
         #: of parts whose decoded form is another text
         self.odd: dict[str, str] = {}
         self.said = list(map(str, range(n)))
@@ -119,11 +121,11 @@ class Pieces:
         return out
 
     def parts(self, text: str) -> list[str]:
-        """Parts of a text, in which blanks are marks and one more mark starts it."""
-        return self.part.findall(MARK + text.replace(" ", MARK)) if text else []
+        """Parts of a text, before which a blank is put; blanks stand for marks."""
+        return self.part.findall(" " + text) if text else []
 
     def encode(self, text: str | None) -> list[int]:
-        return [i for part in self.parts(text or "") for i in self.encode_part(part)]
+        return [i for part in self.parts(text or "") for i in self.encode_part(part.replace(" ", MARK))]
 
     def decode(self, ids: list[int], first: bool = True) -> str:
         """The text of ids; the mark that starts it is dropped where ``first``."""
@@ -241,16 +243,17 @@ class Pieces:
 
     def learn(self, new: list[str]) -> None:
         """Encodes parts, decodes them, and checks both against the library."""
-        ids = self.encode_parts(new)
+        marked = [p.replace(" ", MARK) for p in new]
+        ids = self.encode_parts(marked)
         said = self.said.__getitem__
         # parts in a row are a text again, in which the library must find the same ids; those without a mark of
         # their own are put after a line's end, as they stand in texts
         text, want, shown = [], [], []
-        for p, mine in zip(new, ids, strict=True):
-            self.held[p] = ",".join(map(said, mine))
+        for name, p, mine in zip(new, marked, ids, strict=True):
+            self.held[name] = ",".join(map(said, mine))
             back = self.decode(mine, first=False)
             if back != p.replace(MARK, " "):
-                self.odd[p] = back
+                self.odd[name] = back
             if p[0] != MARK:
                 text.append("\n")
                 want += self.spell("\n")
@@ -267,7 +270,7 @@ class Pieces:
         theirs = self.library.encode("".join(["a", *text]).replace(MARK, " "), num_threads=1)
         back = self.library.decode(theirs)
         if theirs != self.encode_part(MARK + "a") + want or back != "a" + "".join(shown):
-            odd = [p for p, mine in zip(new, ids, strict=True) if self.library.encode(("a\n" + p).replace(MARK, " ")) != self.encode_part(MARK + "a") + self.spell("\n") + mine]
+            odd = [p for p, mine in zip(marked, ids, strict=True) if self.library.encode(("a\n" + p).replace(MARK, " ")) != self.encode_part(MARK + "a") + self.spell("\n") + mine]
             raise ValueError(f"encoding differs from the library's: {odd[:5]!r}")
 
     def digests(self, texts: list) -> dict:
@@ -275,11 +278,18 @@ class Pieces:
         out: dict = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
         split = [self.parts(t or "") for t in texts]
         held = self.held
-        new = {p for parts in split for p in parts if p not in held}
+        every = set().union(*split)
+        new = every.difference(held)
+        self.again |= every - new
         if new and len(held) + len(new) > HELD:
+            # parts that came again stay, unless they alone are too many
+            stay = self.again if len(self.again) <= HELD // 2 else every - new
+            old = {p: held[p] for p in stay}
             held.clear()
-            self.odd.clear()
-            new = {p for parts in split for p in parts}
+            held.update(old)
+            self.odd = {p: t for p, t in self.odd.items() if p in held}
+            self.again.clear()
+            new = every.difference(held)
         if new:
             self.learn(list(new))
         for text, parts in zip(texts, split, strict=True):
@@ -311,16 +321,9 @@ def _text(raw: bytearray) -> str:
     return "".join(out)
 
 
-_LOADED: dict[str, Pieces] = {}
-
-
 def loaded(model: bytes) -> Pieces:
     """The vocabulary of a model, read once a worker."""
-    key = hashlib.sha256(model).hexdigest()
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = Pieces(model)
-    return _LOADED[key]
+    return kept(hashlib.sha256(model).hexdigest(), lambda: Pieces(model))
 
 
 def tokens(docs: DataFrame, path: str) -> DataFrame:

@@ -39,7 +39,9 @@ def signif(x: float) -> float | None:
 
 
 def sig_sql(x: str) -> str:
-    return f"CASE WHEN ({x}) = 0 THEN 0.0 ELSE round(({x}) * pow(10.0, 5 - floor(log10(abs({x}))))) / pow(10.0, 5 - floor(log10(abs({x})))) END"
+    # powers of ten with positive exponents only, which are exact
+    place = f"CAST({DIGITS - 1} - floor(log10(abs({x}))) AS INTEGER)"
+    return f"CASE WHEN ({x}) = 0 THEN 0.0 WHEN {place} >= 0 THEN round(({x}) * pow(10.0, {place})) / pow(10.0, {place}) ELSE round(({x}) / pow(10.0, -{place})) * pow(10.0, -{place}) END"
 
 
 def terms(spark: SparkSession, m) -> DataFrame:

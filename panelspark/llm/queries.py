@@ -10,12 +10,15 @@ from . import fingerprint, langid, license, mixing, pieces, pii, quality, simhas
 from .common import table
 
 
-#: Folder of the public tokenizer files; the environment variable PANELSPARK_TOKENIZERS names another.
-TOKENIZERS = os.environ.get("PANELSPARK_TOKENIZERS", "/opt/tokenizers")
-
-
 def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
-    return os.path.join(TOKENIZERS, name)
+    """The place of a public tokenizer file: in the folder that PANELSPARK_TOKENIZERS names, else where the installed
+    package of public tokenizers has it."""
+    folder = os.environ.get("PANELSPARK_TOKENIZERS")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

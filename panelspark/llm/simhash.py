@@ -175,7 +175,9 @@ def near_links(prints: DataFrame, max_bits: int = 4, block: int = BLOCK) -> Data
 def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row; component_id is the smallest doc_id that links reach."""
     prints = checkpoint(fingerprints(docs, shingle))
-    classes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("rep"))
+    # a class is a few bytes but has many keys, so classes are spread by number, not by size
+    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    classes = checkpoint(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("rep")).repartition(width, "fingerprint"))
     parts = connected_components(near_links(classes, max_bits))
     named = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("fingerprint", F.coalesce("component", "rep").alias("component_id"))
     return prints.join(named, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")

@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 from itertools import combinations_with_replacement
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import checkpoint
@@ -26,6 +26,8 @@ from .sample import prune
 
 #: So many cells come to the driver at most (a few numbers each).
 CELLS = 3_000_000
+#: So many groups of a single set of keys come to the driver at most.
+GROUPS = 200_000
 #: So many groups are broadcast at most when their coefficients meet the rows.
 BROADCAST = 200_000
 
@@ -104,7 +106,16 @@ def _one_key(rows, columns, weight, effects, keys, tol, maxiter, drop, rule, fla
     if narrow:
         sums += [F.sum(w * F.col(columns[i]) * F.col(columns[j])).alias(f"q_{i}_{j}") for i, j in pairs(p)]
     sums += [f.alias(f"flag_{k}") for k, f in enumerate(flags)]
-    table = checkpoint(rows.groupBy(*key).agg(*sums))
+    table = rows.groupBy(*key).agg(*sums).persist()
+    try:
+        if table.count() <= GROUPS:
+            arrow = table.toArrow()
+            total = None if narrow else lambda kept, groups: cross(_inner(rows, kept, key, groups, "left_semi"), [F.col(c) for c in columns], weight)[0]
+            return _one_key_on_driver(rows.sparkSession, arrow, key, effects, p, level, slope, drop, len(flags), total)
+        table, cached = checkpoint(table), table
+    finally:
+        table.unpersist()
+    cached.unpersist()
     kept = table.where("n > 1") if drop else table
     # coefficients of each group, and the columns' components along its orthogonal directions
     parts, thetas = [], []
@@ -138,6 +149,42 @@ def _one_key(rows, columns, weight, effects, keys, tol, maxiter, drop, rule, fla
     return Projection([solved], total - explained, int(n), float(weight_sum), [1] * p, True, [groups] * len(effects), int((checks[-1] or 0) - n) if flags else 0, tuple(checks[:-1]), total)
 
 
+def _one_key_on_driver(spark, arrow, key, effects, p, level, slope, drop, n_flags, total) -> Projection:
+    """The same closed form in numpy, for a table of groups that is small."""
+    import pyarrow as pa
+    import pyarrow.compute
+
+    raised = tuple(bool(arrow.num_rows) and pa.compute.any(arrow.column(f"flag_{k}")).as_py() for k in range(n_flags))
+    before = int(arrow.column("n").to_numpy().sum()) if arrow.num_rows else 0
+    if drop:
+        arrow = arrow.filter(pa.compute.greater(arrow.column("n"), 1))
+    num = lambda c: arrow.column(c).to_numpy().astype(float)
+    block = lambda name: np.column_stack([num(f"{name}_{k}") for k in range(p)])
+    w, s = num("w"), block("s")
+    explained, theta = np.zeros((p, p)), {}
+    ratio = lambda a, b, ok: np.divide(a, b[:, None], out=np.zeros_like(a), where=ok[:, None])
+    if slope is not None:
+        v, sv, svv = block("v"), num("sv"), num("svv")
+        if level is not None:
+            v, spread = v - (sv / w)[:, None] * s, svv - sv * sv / w
+        else:
+            spread = svv
+        some = spread > svv * 1e-13
+        theta[slope] = ratio(v, spread, some)
+        explained += theta[slope].T @ np.where(some[:, None], v, 0)
+    if level is not None:
+        theta[level] = s / w[:, None]
+        explained += theta[level].T @ s
+        if slope is not None:
+            theta[level] = theta[level] - theta[slope] * (sv / w)[:, None]
+    fields = {k: arrow.column(k) for k in key} | {f"t{e}_{k}": t[:, k] for e, t in theta.items() for k in range(p)}
+    made = spark.createDataFrame(pa.table(fields)) if len(w) else spark.createDataFrame([], ", ".join([*(f"{k} string" for k in key), *(f"t{e}_{k} double" for e in theta for k in range(p))]))
+    groups, n = len(w), int(num("n").sum())
+    gram = total(made.select(*key), groups) if total else square([num(f"q_{i}_{j}").sum() for i, j in pairs(p)], p)
+    within = gram - (explained + explained.T) / 2
+    return Projection([Level(key, list(range(len(effects))), made, groups)], within, n, float(w.sum()), [1] * p, True, [groups] * len(effects), before - n, raised, gram)
+
+
 # ---- several sets of keys -------------------------------------------------------------------------------------
 
 
@@ -162,6 +209,7 @@ def _many_keys(rows, columns, weight, effects, keys, tol, maxiter, drop, rule, f
 def _codes(arrow, columns: list[str]) -> tuple[np.ndarray, list]:
     """Dense codes of the combinations of some columns, and the combinations themselves as Arrow arrays."""
     import pyarrow as pa
+    import pyarrow.compute
 
     code = np.zeros(arrow.num_rows, np.int64)
     for c in columns:
@@ -174,6 +222,7 @@ def _codes(arrow, columns: list[str]) -> tuple[np.ndarray, list]:
 
 def _on_driver(rows, columns, weight, cells, every, keys, effects, named, total, got, tol, maxiter, drop, rule) -> Projection:
     import pyarrow as pa
+    import pyarrow.compute
 
     p, e = len(columns), len(effects)
     arrow = cells.toArrow()
@@ -341,7 +390,3 @@ def _prune_tables(cells: DataFrame, keys, rule: str) -> DataFrame:
             cells = checkpoint(cells.join(F.broadcast(alone) if count <= BROADCAST else alone, key, "left_anti"))
         clean = 0 if count else clean + 1
     return cells
-
-
-def session(df: DataFrame) -> SparkSession:
-    return df.sparkSession

@@ -96,8 +96,11 @@ def test_plain_models(data):
     assert np.isclose(m.tss, ((y - y.mean()) ** 2).sum()) and np.isclose(m.r2(), 1 - m.rss / m.tss) and m.dof == 1 and m.dof_residual == len(pdf) - 3
 
 
-def test_one_effect(data):
+@pytest.mark.parametrize("groups", [200_000, 0])
+def test_one_effect(data, monkeypatch, groups):
+    """Solved on the driver, and by column expressions over the table of groups."""
     pdf, df = data
+    monkeypatch.setattr(absorb, "GROUPS", groups)
     keep = pruned(pdf, [["g"]])
     p = pdf[keep].reset_index(drop=True)
     d, k = dummies(p.g.to_numpy()), p.g.nunique()
@@ -107,11 +110,12 @@ def test_one_effect(data):
     check(reg(df, "y ~ x + e + fe(g)", Cluster("t")), *dense(p, ["x", "e"], d, k, vcov="cluster", clusters=["t"])[:3])
 
 
-def test_slopes(data):
+@pytest.mark.parametrize("groups", [200_000, 0])
+def test_slopes(data, monkeypatch, groups):
     pdf, df = data
+    monkeypatch.setattr(absorb, "GROUPS", groups)
     h, v = pdf.h.to_numpy(), pdf.v.to_numpy()
     levels, slopes = dummies(h), dummies(h, v)
-    check(reg(df, "y ~ x + fe(h)*v", Robust()), *[np.append(q, 0) if i == 0 else np.append(q, np.nan) if i == 1 else q for i, q in enumerate(dense(pdf, ["x"], np.hstack([levels, slopes]), 24, vcov="robust")[:3])]) if False else None
     m = reg(df, "y ~ x + fe(h)*v", Robust())
     b, se, rss, _ = dense(pdf, ["x"], np.hstack([levels, slopes]), 24, vcov="robust")
     assert np.isclose(m.coef[0], b[0]) and np.isclose(m.stderror[0], se[0]) and np.isclose(m.rss, rss) and m.coef[1] == 0 and np.isnan(m.stderror[1])

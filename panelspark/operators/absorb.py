@@ -188,22 +188,51 @@ def _one_key_on_driver(spark, arrow, key, effects, p, level, slope, drop, n_flag
 # ---- several sets of keys -------------------------------------------------------------------------------------
 
 
+@dataclass
+class _Names:
+    """Names of the sums by cell. Effects without a slope share theirs, and the constant (the last column) repeats the
+    sums of weights."""
+
+    multipliers: list[str]
+    last: int
+    weighted: bool
+
+    def m(self, a: int, b: int) -> str:
+        x, y = sorted((self.multipliers[a], self.multipliers[b]))
+        return self.total if x == y == "1" else f"m_{x}_{y}"
+
+    def b(self, a: int, c: int) -> str:
+        s = self.multipliers[a]
+        if c == self.last:
+            return self.total if s == "1" else f"m_1_{s}"
+        return f"c_{c}" if s == "1" else f"b_{s}_{c}"
+
+    @property
+    def total(self) -> str:
+        return "w" if self.weighted else "n"
+
+
 def _many_keys(rows, columns, weight, effects, keys, tol, maxiter, drop, rule, flags) -> Projection:
     p, e = len(columns), len(effects)
     w = weight if weight is not None else F.lit(1.0)
     every = list(dict.fromkeys(k for ks in keys for k in ks))
-    one = F.lit(1.0)
-    s = [x if x is not None else one for _, x in effects]
-    # effects without a slope share their sums: a name for each distinct multiplier
-    named = [str(k) if x is not None else "1" for k, (_, x) in enumerate(effects)]
-    names = {f"m_{'_'.join(sorted((named[a], named[b])))}": w * s[a] * s[b] for a, b in combinations_with_replacement(range(e), 2)}
-    names |= {f"b_{named[a]}_{k}": w * s[a] * F.col(c) for a in range(e) for k, c in enumerate(columns)}
-    names |= {"w": w} | {f"c_{k}": w * F.col(c) for k, c in enumerate(columns)}
-    cells = checkpoint(rows.groupBy(*every).agg(F.count("*").alias("n"), *(F.sum(x).alias(n) for n, x in names.items())))
-    total, got = cross(rows, [F.col(c) for c in columns], weight, [F.count("*"), *flags])
-    size = cells.count()
-    how = _on_driver if size <= CELLS else _by_tables
-    return how(rows, columns, weight, cells, every, keys, effects, named, total, got, tol, maxiter, drop, rule)
+    s = [x if x is not None else F.lit(1.0) for _, x in effects]
+    names = _Names([f"v{k}" if x is not None else "1" for k, (_, x) in enumerate(effects)], p - 1, weight is not None)
+    sums = {f"c_{k}": w * F.col(c) for k, c in enumerate(columns[:-1])}
+    sums |= {names.b(a, k): w * s[a] * F.col(c) for a in range(e) for k, c in enumerate(columns)}
+    sums |= {names.m(a, b): w * s[a] * s[b] for a, b in combinations_with_replacement(range(e), 2)}
+    sums[names.total] = w
+    # a constant times the number of rows is that number
+    sums.pop("n", None)
+    cells = rows.groupBy(*every).agg(F.count("*").cast("double").alias("n"), *(F.sum(x).alias(n) for n, x in sums.items())).persist()
+    try:
+        size = cells.count()
+        total, got = cross(rows, [F.col(c) for c in columns], weight, [F.count("*"), *flags])
+        if size <= CELLS:
+            return _on_driver(rows.sparkSession, cells.toArrow(), columns, keys, effects, names, total, got, tol, maxiter, drop, rule)
+        return _by_tables(rows, columns, weight, checkpoint(cells), keys, effects, names, total, got, tol, maxiter, drop, rule)
+    finally:
+        cells.unpersist()
 
 
 def _codes(arrow, columns: list[str]) -> tuple[np.ndarray, list]:
@@ -220,37 +249,43 @@ def _codes(arrow, columns: list[str]) -> tuple[np.ndarray, list]:
     return code, [arrow.column(c).combine_chunks().take(pa.array(first)) for c in columns]
 
 
-def _on_driver(rows, columns, weight, cells, every, keys, effects, named, total, got, tol, maxiter, drop, rule) -> Projection:
+def _on_driver(spark, arrow, columns, keys, effects, names, total, got, tol, maxiter, drop, rule) -> Projection:
     import pyarrow as pa
-    import pyarrow.compute
 
-    p, e = len(columns), len(effects)
-    arrow = cells.toArrow()
-    n = arrow.column("n").to_numpy()
+    p, e, last = len(columns), len(effects), len(columns) - 1
+    num = lambda c: arrow.column(c).to_numpy()
+    n = num("n")
     by_key = {k: _codes(arrow, list(k)) for k in keys}
     code = [by_key[tuple(sorted(k))][0] for k, _ in effects]
     keep = prune([by_key[k][0] for k in keys], n, rule) if drop else np.ones(len(n), bool)
-    num = lambda c: arrow.column(c).to_numpy()
     if not keep.all():
         # a row that is alone in a group is alone in its cell, whose sums are then the row itself
-        lost = np.column_stack([num(f"c_{k}") for k in range(p)])[~keep]
-        total = total - lost.T @ (lost / num("w")[~keep][:, None])
-    counts = {k: len(np.unique(by_key[k][0][keep])) for k in keys}
-    m = lambda a, b: num(f"m_{'_'.join(sorted((named[a], named[b])))}")[keep]
+        lost = np.column_stack([*(num(f"c_{k}") for k in range(last)), num(names.total)])[~keep]
+        total = total - lost.T @ (lost / num(names.total)[~keep][:, None])
+    used = {c: num(c) if keep.all() else num(c)[keep] for c in arrow.column_names if c not in {k for ks in keys for k in ks}}
     groups = [int(c.max(initial=-1)) + 1 for c in code]
-    code = [c[keep] for c in code]
-    right = [np.column_stack([np.bincount(code[a], num(f"b_{named[a]}_{k}")[keep], groups[a]) for k in range(p)]) for a in range(e)]
-    theta, iterations, converged = conjugate_gradients(code, groups, {(a, b): m(a, b) for a in range(e) for b in range(e)}, right, [tuple(sorted(k)) for k, _ in effects], tol, maxiter)
+    code = code if keep.all() else [c[keep] for c in code]
+    counts = {k: int((np.bincount(code[next(a for a in range(e) if tuple(sorted(effects[a][0])) == k)]) > 0).sum()) for k in keys}
+    # absorbed levels explain the constant in full; it needs no solution
+    level = next((a for a, x in enumerate(names.multipliers) if x == "1"), None)
+    solved = range(p if level is None else last)
+    right = [np.column_stack([np.bincount(code[a], used[names.b(a, k)], groups[a]) for k in solved]) for a in range(e)]
+    moments = {(a, b): used[names.m(a, b)] for a in range(e) for b in range(e)}
+    theta, iterations, converged = conjugate_gradients(code, groups, moments, right, [tuple(sorted(k)) for k, _ in effects], tol, maxiter)
     explained = sum(t.T @ r for t, r in zip(theta, right, strict=True))
+    within = np.zeros((p, p))
+    within[: len(solved), : len(solved)] = total[: len(solved), : len(solved)] - (explained + explained.T) / 2
+    if level is not None:
+        theta = [np.column_stack([t, np.full(len(t), float(a == level))]) for a, t in enumerate(theta)]
+        iterations = [*iterations, 1]
     levels = []
     for k in keys:
         own = [a for a in range(e) if tuple(sorted(effects[a][0])) == k]
-        used = np.unique(code[own[0]])
-        arrays = [x.take(pa.array(used)) for x in by_key[k][1]]
-        fields = {c: x for c, x in zip(k, arrays, strict=True)} | {f"t{a}_{c}": theta[a][used, c] for a in own for c in range(p)}
-        levels.append(Level(list(k), own, rows.sparkSession.createDataFrame(pa.table(fields)), len(used)))
-    within = total - (explained + explained.T) / 2
-    return Projection(levels, within, int(n[keep].sum()), float(num("w")[keep].sum()), iterations, converged, [counts[tuple(sorted(k))] for k, _ in effects], int(n[~keep].sum()), tuple(got[1:]), total)
+        there = np.flatnonzero(np.bincount(code[own[0]], minlength=groups[own[0]]))
+        arrays = [x.take(pa.array(there)) for x in by_key[k][1]]
+        fields = {c: x for c, x in zip(k, arrays, strict=True)} | {f"t{a}_{c}": theta[a][there, c] for a in own for c in range(p)}
+        levels.append(Level(list(k), own, spark.createDataFrame(pa.table(fields)), len(there)))
+    return Projection(levels, within, int(used["n"].sum()), float(used[names.total].sum()), iterations, converged, [counts[tuple(sorted(k))] for k, _ in effects], int(n[~keep].sum()), tuple(got[1:]), total)
 
 
 def conjugate_gradients(code, groups, moment, right, keys, tol, maxiter):
@@ -283,12 +318,20 @@ def conjugate_gradients(code, groups, moment, right, keys, tol, maxiter):
                 z[a] = x[:, i]
         return z
 
+    alike = all(m is moment[0, 0] for m in moment.values())
+
     def apply(x):
-        out = []
-        for a in range(e):
-            t = sum(moment[a, b][:, None] * x[b][code[b]] for b in range(e))
-            out.append(np.column_stack([np.bincount(code[a], t[:, k], groups[a]) for k in range(p)]))
-        return out
+        columns = []
+        for k in range(p):
+            # contiguous columns: gathers and sums by group run over them at memory speed
+            parts = [x[b][:, k].copy()[code[b]] for b in range(e)]
+            if alike:
+                t = parts[0]
+                for part in parts[1:]:
+                    t += part
+                t *= moment[0, 0]
+            columns.append([np.bincount(code[a], t if alike else sum(moment[a, b] * parts[b] for b in range(e)), groups[a]) for a in range(e)])
+        return [np.column_stack([c[a] for c in columns]) for a in range(e)]
 
     dot = lambda u, v: sum((a * b).sum(axis=0) for a, b in zip(u, v, strict=True))
     theta = [np.zeros_like(r) for r in right]
@@ -321,16 +364,16 @@ def conjugate_gradients(code, groups, moment, right, keys, tol, maxiter):
 # ---- tables of groups, for cells that stay on the executors ---------------------------------------------------
 
 
-def _by_tables(rows, columns, weight, cells, every, keys, effects, named, total, got, tol, maxiter, drop, rule) -> Projection:
+def _by_tables(rows, columns, weight, cells, keys, effects, names, total, got, tol, maxiter, drop, rule) -> Projection:
     p, e = len(columns), len(effects)
     before = got[0]
     if drop:
         cells = _prune_tables(cells, keys, rule)
     own = {k: [a for a in range(e) if tuple(sorted(effects[a][0])) == k] for k in keys}
-    m = lambda a, b: F.col(f"m_{'_'.join(sorted((named[a], named[b])))}")
+    m = lambda a, b: F.col(names.m(a, b))
     state = {}
     for k in keys:
-        sums = [F.sum(m(a, a)).alias(f"d{a}") for a in own[k]] + [F.sum(f"b_{named[a]}_{c}").alias(f"r{a}_{c}") for a in own[k] for c in range(p)]
+        sums = [F.sum(m(a, a)).alias(f"d{a}") for a in own[k]] + [F.sum(names.b(a, c)).alias(f"r{a}_{c}") for a in own[k] for c in range(p)]
         state[k] = checkpoint(cells.groupBy(*k).agg(*sums))
     sizes = {k: t.count() for k, t in state.items()}
     scaled = lambda x, a: F.when(F.col(f"d{a}") > 0, x / F.col(f"d{a}")).otherwise(0.0)
@@ -369,7 +412,7 @@ def _by_tables(rows, columns, weight, cells, every, keys, effects, named, total,
         got_k = state[k].agg(*(F.sum(sum((F.col(f"x{a}_{i}") * F.col(f"b{a}_{j}") for a in own[k]), F.lit(0.0))) for i in range(p) for j in range(p))).first()
         explained += np.array(got_k, float).reshape(p, p)
     levels = [Level(list(k), own[k], checkpoint(state[k].select(*k, *(F.col(f"x{a}_{c}").alias(f"t{a}_{c}") for a in own[k] for c in range(p)))), sizes[k]) for k in keys]
-    n, wsum = cells.agg(F.sum("n"), F.sum("w")).first()
+    n, wsum = cells.agg(F.sum("n"), F.sum(names.total)).first()
     if n != before:
         lost = rows
         for level in levels:

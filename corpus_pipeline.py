@@ -23,8 +23,8 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Keeps the document of smallest doc_id of each group of near-duplicates (whole rows repeated with that id
     count once). Rows without a doc_id stay, as none can stand for its group. Only ids and fingerprints are shuffled with the groups; texts meet the decision once, by id."""
     named = simhash.near_duplicates(docs)
-    kept = named.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.join(checkpoint(kept), F.col("doc_id") == F.col("kept_id"), "left_semi")
+    kept = checkpoint(named.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept")).distinct())
+    rows = docs.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi")
     rows = rows.dropDuplicates(["doc_id"]) if _repeats(docs) else rows
     return rows.unionByName(docs.where(F.col("doc_id").isNull()))
 
@@ -41,7 +41,7 @@ def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats documents of small sources towards even weights; every document is read once at least."""
-    return mixing.mix(docs).select(*docs.columns)
+    return mixing.mix(docs, facts=False)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

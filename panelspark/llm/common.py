@@ -27,6 +27,15 @@ def kept(key, build: Callable):
     return KEPT[key]
 
 
+def started(make: Callable) -> Callable:
+    """The batch function of a new task. What earlier operators have left in this worker gives way."""
+    USED.clear()
+    f = make()
+    for key in KEPT.keys() - USED:
+        del KEPT[key]
+    return f
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir; a folder of our own only where none is set."""
     sc = spark.sparkContext
@@ -62,11 +71,7 @@ def over_texts(make: Callable[[], Callable[[list], list[dict] | dict]], schema:
     @F.arrow_udf(fields)
     def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         to = arrow_type(fields)
-        USED.clear()
-        f = make()
-        # what an earlier operator has left in this worker gives way
-        for key in KEPT.keys() - USED:
-            del KEPT[key]
+        f = started(make)
         for arrays in batches:
             arrays = arrays if isinstance(arrays, tuple) else (arrays,)
             n, parts = len(arrays[0]), []
@@ -96,13 +101,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, m
 
     The order is by a hash of the key, so the sample is even over sources and the same in every run. Only keys
     and labels are sorted; texts are read by a join with the sample, which ``rows`` bounds. Texts over
-    ``max_chars`` code points are left out of training (never out of prediction).
+    ``max_chars`` code points are left out of training (never out of prediction). A key that is labelled twice has its
+    smaller label, one with several texts trains with the smallest of them.
     """
     ids = (
         labels.select("doc_id", F.col(label).cast(kind).alias("label"))
         .where(F.col("label").isNotNull() & F.col("doc_id").isNotNull())
-        .orderBy(F.xxhash64(F.col("doc_id")), "doc_id")
+        .groupBy("doc_id")
+        .agg(F.min("label").alias("label"))
+        .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(rows)
     )
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
-    return texts.join(F.broadcast(ids), "doc_id")
+    return texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))

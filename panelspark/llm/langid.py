@@ -166,7 +166,7 @@ def train(texts: list[str], langs: list[str], epochs: int = 4, rate: float = 0.5
 
 def fit(docs: DataFrame, rows: int = ROWS, max_chars: int = MAX_CHARS) -> Model | None:
     """Trains on a bounded sample of the rows that have a language; ``docs`` holds no row that must stay unseen."""
-    sample = labelled_sample(docs, docs.select("doc_id", "lang").distinct(), "lang", rows, max_chars, "string").toArrow()
+    sample = labelled_sample(docs, docs, "lang", rows, max_chars, "string").orderBy("doc_id").toArrow()
     return train(sample.column("text").to_pylist(), sample.column("label").to_pylist())
 
 

@@ -130,28 +130,30 @@ def _limits(sizes: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
 
 def _joined(rows: DataFrame, sources: DataFrame) -> DataFrame:
     """Rows with their source's columns; the table of sources is broadcast where its size is within the bound."""
-    named = sources.withColumnRenamed("source", "own_source")
+    named = sources.withColumnRenamed("source", "__own_source")
     small = sources.limit(SOURCES + 1).count() <= SOURCES
-    return rows.join(F.broadcast(named) if small else named, F.col("source").eqNullSafe(F.col("own_source"))).drop("own_source")
+    return rows.join(F.broadcast(named) if small else named, F.col("source").eqNullSafe(F.col("__own_source"))).drop("__own_source")
 
 
-def mix(docs: DataFrame, entropy: float | None = 0.98, repeats: float | None = 2.0, budget: int | None = None, seed: int = 1, tokens: Column | None = None) -> DataFrame:
-    """The rows of the mixture: all columns of ``docs`` with ``mix_epoch``, ``mix_key`` (sorting by it reads the
-    sources side by side in their weights) and ``mix_weight``. A row stands once for each epoch that reads it."""
-    own = [c for c in docs.columns if c not in ("mix_epoch", "mix_key", "mix_weight")]
+def mix(docs: DataFrame, entropy: float | None = 0.98, repeats: float | None = 2.0, budget: int | None = None, seed: int = 1, tokens: Column | None = None, facts: bool = True) -> DataFrame:
+    """The rows of the mixture: all columns of ``docs`` and, with ``facts``, ``mix_epoch``, ``mix_key`` (sorting by it
+    reads the sources side by side in their weights) and ``mix_weight``, which replace columns of those names. A row
+    stands once for each epoch that reads it."""
+    own = [c for c in docs.columns if not facts or c not in ("mix_epoch", "mix_key", "mix_weight")]
     row_hash = F.xxhash64(F.coalesce("doc_id", F.xxhash64("text")), F.lit(seed))
     sizes = checkpoint(docs.select("source", row_hash.alias("row_hash"), (tokens if tokens is not None else n_tokens(F.col("text"))).alias("n_tokens")))
     sources = checkpoint(plan(sizes, entropy, repeats, budget))
     limits = checkpoint(_limits(sizes, sources, seed))
-    weights = sources.select(F.col("source").alias("w_source"), F.col("weight").alias("mix_weight"))
-    table = limits.join(weights, F.col("source").eqNullSafe(F.col("w_source"))).select("source", F.col("n_blocks").alias("mix_blocks"), F.col("epochs").alias("mix_epochs"), F.col("cut").alias("mix_cut"), F.col("cut_row").alias("mix_cut_row"), "mix_weight")
-    rows = _joined(docs.select(*own), checkpoint(table))
-    rows = rows.withColumn("mix_hash", row_hash).where("mix_epochs > 0")
-    rows = rows.withColumn("mix_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil("mix_epochs").cast("long") - 1, F.lit(0).cast("long")))))
-    place = _rank(F.pmod("mix_hash", "mix_blocks"), F.col("mix_blocks"), F.lit(seed), F.col("source"), F.col("mix_epoch"))
-    spot = _unit(F.lit(seed), "mix_epoch", "mix_hash")
-    rows = rows.withColumn("mix_place", place).withColumn("mix_spot", spot)
-    read = (F.col("mix_epoch") + 1 <= F.col("mix_epochs")) | (F.col("mix_place") < F.col("mix_cut")) | ((F.col("mix_place") == F.col("mix_cut")) & (F.col("mix_spot") <= F.col("mix_cut_row")))
+    weights = sources.select(F.col("source").alias("__w_source"), F.col("weight").alias("__mix_weight"))
+    table = limits.join(weights, F.col("source").eqNullSafe(F.col("__w_source"))).select("source", F.col("n_blocks").alias("__mix_blocks"), F.col("epochs").alias("__mix_epochs"), F.col("cut").alias("__mix_cut"), F.col("cut_row").alias("__mix_cut_row"), "__mix_weight")
+    rows = _joined(docs.select(*(F.col(f"`{c}`") for c in own)), checkpoint(table))
+    rows = rows.withColumn("__mix_hash", row_hash).where("__mix_epochs > 0")
+    rows = rows.withColumn("__mix_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil("__mix_epochs").cast("long") - 1, F.lit(0).cast("long")))))
+    place = _rank(F.pmod("__mix_hash", "__mix_blocks"), F.col("__mix_blocks"), F.lit(seed), F.col("source"), F.col("__mix_epoch"))
+    spot = _unit(F.lit(seed), "__mix_epoch", "__mix_hash")
+    rows = rows.withColumn("__mix_place", place).withColumn("__mix_spot", spot)
+    read = (F.col("__mix_epoch") + 1 <= F.col("__mix_epochs")) | (F.col("__mix_place") < F.col("__mix_cut")) | ((F.col("__mix_place") == F.col("__mix_cut")) & (F.col("__mix_spot") <= F.col("__mix_cut_row")))
     # places are even over an epoch, so the share of it that lies before a row tells when the row is due
-    key = F.least(F.lit(1.0), (F.col("mix_epoch") + (F.col("mix_place") + F.col("mix_spot")) / F.col("mix_blocks")) / F.greatest("mix_epochs", F.lit(1e-12)))
-    return rows.where(F.coalesce(read, F.lit(False))).select(*own, "mix_epoch", key.alias("mix_key"), "mix_weight")
+    key = F.least(F.lit(1.0), (F.col("__mix_epoch") + (F.col("__mix_place") + F.col("__mix_spot")) / F.col("__mix_blocks")) / F.greatest("__mix_epochs", F.lit(1e-12)))
+    shown = [F.col("__mix_epoch").alias("mix_epoch"), key.alias("mix_key"), F.col("__mix_weight").alias("mix_weight")] if facts else []
+    return rows.where(F.coalesce(read, F.lit(False))).select(*(F.col(f"`{c}`") for c in own), *shown)

@@ -121,7 +121,7 @@ def vectors(docs: DataFrame, *kept: str) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, max_chars: int = MAX_CHARS) -> Model | None:
     """Learns from a bounded sample of labelled rows; only their feature vectors come to the driver."""
-    got = vectors(labelled_sample(docs, labels, "quality", rows, max_chars), "label").toArrow()
+    got = vectors(labelled_sample(docs, labels.where(F.col("quality").isin(0, 1)), "quality", rows, max_chars), "doc_id", "label").orderBy("doc_id").toArrow()
     y = np.array(got.column("label").to_pylist(), int)
     if len({*y.tolist()} & {0, 1}) < 2:
         return None

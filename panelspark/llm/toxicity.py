@@ -28,7 +28,7 @@ from .common import labelled_sample, over_texts, remainder
 #: Scores from here on are predicted as toxic.
 CUT = 0.7
 #: Bounds of the training sample: rows, and code points of a text.
-ROWS, MAX_CHARS = 8000, 50_000
+ROWS, MAX_CHARS = 8000, 20_000
 #: Lengths of learned word beginnings; words in a window; words between a hit and a second person.
 STARTS, WINDOW, NEAR = (3, 4, 5, 6, 7), 25, 4
 #: A learned entry has at least so many hits in toxic texts, and so many standard errors over chance.
@@ -234,7 +234,7 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, max_chars: int = MAX_CHARS) -> Model | None:
     """Learns from a bounded sample of labelled rows."""
-    got = labelled_sample(docs, labels.where(F.col("toxic").isin(0, 1)), "toxic", rows, max_chars).orderBy("doc_id", "text").toArrow()
+    got = labelled_sample(docs, labels.where(F.col("toxic").isin(0, 1)), "toxic", rows, max_chars).orderBy("doc_id").toArrow()
     y = got.column("label").to_pylist()
     return Model(got.column("text").to_pylist(), y) if len(set(y)) == 2 else None
 

@@ -93,5 +93,7 @@ def test_odd_tables(spark):
     got = mixing.mix(spark.createDataFrame(rows, SCHEMA)).collect()
     assert {r.doc_id for r in got} == {1, 2, None, 5}
     assert all(set(r.asDict()) == {"doc_id", "text", "source", "tokens", "mix_epoch", "mix_key", "mix_weight"} for r in got)
+    plain = mixing.mix(spark.createDataFrame(rows, SCHEMA), facts=False)
+    assert plain.columns == ["doc_id", "text", "source", "mix_key", "tokens"] and plain.count() == len(got)
     alone = mixing.mix(spark.createDataFrame(rows[-1:], SCHEMA)).collect()
     assert len(alone) == 1 and alone[0].mix_weight == 1

@@ -79,5 +79,10 @@ def test_empty_tables(spark, folder, tmp_path):
 
 
 def test_repeated_rows_and_nulls(spark, folder):
-    docs = spark.createDataFrame([(1, "a b", "s"), (1, "a b", "s"), (2, None, None), (None, "c d", "s")], "doc_id long, text string, source string")
+    schema = "doc_id long, text string, source string, score double, component_id long, fingerprint string, mix_key double, kept_id long"
+    docs = spark.createDataFrame([(i, t, s, 0.5, 7, "f", 0.1, 3) for i, t, s in [(1, "a b", "s"), (1, "a b", "s"), (2, None, None), (None, "c d", "s")]], schema)
+    for _, stage in cp.STAGES[2:4]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and {(r.score, r.component_id, r.fingerprint, r.mix_key, r.kept_id) for r in out.collect()} == {(0.5, 7, "f", 0.1, 3)}
+    assert cp.keep_one_of_each_group(spark, docs, "").columns == docs.columns
     assert sorted((r.doc_id or 0) for r in cp.keep_one_of_each_group(spark, docs, "").collect()) == [0, 1, 2]

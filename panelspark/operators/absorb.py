@@ -24,7 +24,7 @@ from ..sources.tables import checkpoint
 from .moments import cross, pairs, square
 from .sample import prune
 
-#: So many cells come to the driver at most (a few numbers each).
+#: So many cells, by an estimate within a few hundredths, come to the driver at most (a few numbers each).
 CELLS = 3_000_000
 #: So many groups of a single set of keys come to the driver at most.
 GROUPS = 200_000
@@ -224,15 +224,13 @@ def _many_keys(rows, columns, weight, effects, keys, tol, maxiter, drop, rule, f
     sums[names.total] = w
     # a constant times the number of rows is that number
     sums.pop("n", None)
-    cells = rows.groupBy(*every).agg(F.count("*").cast("double").alias("n"), *(F.sum(x).alias(n) for n, x in sums.items())).persist()
-    try:
-        size = cells.count()
-        total, got = cross(rows, [F.col(c) for c in columns], weight, [F.count("*"), *flags])
-        if size <= CELLS:
-            return _on_driver(rows.sparkSession, cells.toArrow(), columns, keys, effects, names, total, got, tol, maxiter, drop, rule)
-        return _by_tables(rows, columns, weight, checkpoint(cells), keys, effects, names, total, got, tol, maxiter, drop, rule)
-    finally:
-        cells.unpersist()
+    cells = rows.groupBy(*every).agg(F.count("*").cast("double").alias("n"), *(F.sum(x).alias(n) for n, x in sums.items()))
+    # the pass that sums products also estimates the number of cells
+    total, got = cross(rows, [F.col(c) for c in columns], weight, [F.count("*"), F.approx_count_distinct(F.xxhash64(*every)), *flags])
+    got, size = (got[0], *got[2:]), got[1]
+    if size <= CELLS:
+        return _on_driver(rows.sparkSession, cells.toArrow(), columns, keys, effects, names, total, got, tol, maxiter, drop, rule)
+    return _by_tables(rows, columns, weight, checkpoint(cells), keys, effects, names, total, got, tol, maxiter, drop, rule)
 
 
 def _codes(arrow, columns: list[str]) -> tuple[np.ndarray, list]:

@@ -13,6 +13,7 @@ The solution is one table of groups and coefficients for each set of keys.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from itertools import combinations_with_replacement
 
@@ -55,6 +56,9 @@ class Projection:
     extra: tuple = field(default=())
     #: sums of products before projection
     total: np.ndarray | None = None
+    #: where there is one set of keys: the matrix of sums over groups of a's by group, for a list of pairs (u, v) of
+    #: linear combinations of columns, a = sum within the group of w * (residual of u) * (residual of v)
+    by_group: Callable[[list[tuple[dict[int, float], dict[int, float]]]], np.ndarray] | None = None
 
 
 def _inner(rows: DataFrame, table: DataFrame, keys: list[str], groups: int, how: str = "inner") -> DataFrame:
@@ -146,7 +150,13 @@ def _one_key(rows, columns, weight, effects, keys, tol, maxiter, drop, rule, fla
     else:
         total = cross(_inner(rows, kept.select(*key), key, groups, "left_semi"), [F.col(c) for c in columns], weight)[0]
     solved = Level(key, [i for i in range(len(effects))], kept.select(*key, *thetas), groups)
-    return Projection([solved], total - explained, int(n), float(weight_sum), [1] * p, True, [groups] * len(effects), int((checks[-1] or 0) - n) if flags else 0, tuple(checks[:-1]), total)
+
+    def by_group(products):
+        inner = lambda i, j: F.col(f"q_{min(i, j)}_{max(i, j)}") - sum((x[i] * x[j] for x in parts), F.lit(0.0))
+        sums_ = [sum((float(a * b) * inner(i, j) for i, a in u.items() for j, b in v.items()), F.lit(0.0)) for u, v in products]
+        return cross(kept, sums_)[0]
+
+    return Projection([solved], total - explained, int(n), float(weight_sum), [1] * p, True, [groups] * len(effects), int((checks[-1] or 0) - n) if flags else 0, tuple(checks[:-1]), total, by_group if narrow else None)
 
 
 def _one_key_on_driver(spark, arrow, key, effects, p, level, slope, drop, n_flags, total) -> Projection:
@@ -161,7 +171,7 @@ def _one_key_on_driver(spark, arrow, key, effects, p, level, slope, drop, n_flag
     num = lambda c: arrow.column(c).to_numpy().astype(float)
     block = lambda name: np.column_stack([num(f"{name}_{k}") for k in range(p)])
     w, s = num("w"), block("s")
-    explained, theta = np.zeros((p, p)), {}
+    explained, theta, axes = np.zeros((p, p)), {}, []
     ratio = lambda a, b, ok: np.divide(a, b[:, None], out=np.zeros_like(a), where=ok[:, None])
     if slope is not None:
         v, sv, svv = block("v"), num("sv"), num("svv")
@@ -171,18 +181,34 @@ def _one_key_on_driver(spark, arrow, key, effects, p, level, slope, drop, n_flag
             spread = svv
         some = spread > svv * 1e-13
         theta[slope] = ratio(v, spread, some)
-        explained += theta[slope].T @ np.where(some[:, None], v, 0)
+        axes.append((theta[slope], np.where(some[:, None], v, 0)))
     if level is not None:
         theta[level] = s / w[:, None]
-        explained += theta[level].T @ s
+        axes.append((theta[level], s))
+    for t, v in axes:
+        explained += t.T @ v
+    if level is not None:
         if slope is not None:
             theta[level] = theta[level] - theta[slope] * (sv / w)[:, None]
     fields = {k: arrow.column(k) for k in key} | {f"t{e}_{k}": t[:, k] for e, t in theta.items() for k in range(p)}
     made = spark.createDataFrame(pa.table(fields)) if len(w) else spark.createDataFrame([], ", ".join([*(f"{k} string" for k in key), *(f"t{e}_{k} double" for e in theta for k in range(p))]))
     groups, n = len(w), int(num("n").sum())
     gram = total(made.select(*key), groups) if total else square([num(f"q_{i}_{j}").sum() for i, j in pairs(p)], p)
+
+    def by_group(products):
+        inner = lambda i, j: num(f"q_{min(i, j)}_{max(i, j)}") - sum(t[:, i] * v[:, j] for t, v in axes)
+        known: dict = {}
+        out = np.zeros((groups, len(products)))
+        for k, (u, v) in enumerate(products):
+            for i, a in u.items():
+                for j, b in v.items():
+                    if (i, j) not in known:
+                        known[i, j] = inner(i, j)
+                    out[:, k] += a * b * known[i, j]
+        return out.T @ out
+
     within = gram - (explained + explained.T) / 2
-    return Projection([Level(key, list(range(len(effects))), made, groups)], within, n, float(w.sum()), [1] * p, True, [groups] * len(effects), before - n, raised, gram)
+    return Projection([Level(key, list(range(len(effects))), made, groups)], within, n, float(w.sum()), [1] * p, True, [groups] * len(effects), before - n, raised, gram, None if total else by_group)
 
 
 # ---- several sets of keys -------------------------------------------------------------------------------------

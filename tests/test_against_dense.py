@@ -107,6 +107,14 @@ def test_one_effect(data, monkeypatch, groups):
     check(reg(df, "y ~ x + e + fe(g)"), *dense(p, ["x", "e"], d, k)[:3])
     check(reg(df, "y ~ x + e + fe(g)", Robust(), weights="w"), *dense(p, ["x", "e"], d, k, w=p.w.to_numpy(), vcov="robust")[:3])
     check(reg(df, "y ~ x + e + fe(g)", Cluster("g")), *dense(p, ["x", "e"], d, 1, vcov="cluster", clusters=["g"])[:3])
+    w = p.w.to_numpy()
+    check(reg(df, "y ~ x + (e ~ z + z2) + fe(g)", Cluster("g"), weights="w"), *dense(p, ["x"], d, 1, ["e"], ["z", "z2"], w=w, vcov="cluster", clusters=["g"])[:3])
+    slow, fast = reg(df.selectExpr("*", "g as g2"), "y ~ x + (e ~ z + z2) + fe(g)", Cluster("g2")), reg(df, "y ~ x + (e ~ z + z2) + fe(g)", Cluster("g"))
+    assert np.isclose(slow.F_kp, fast.F_kp) and np.allclose(slow.stderror, fast.stderror) and slow.nclusters["g2"] == fast.nclusters["g"]
+    hs = dummies(pdf.h.to_numpy(), pdf.v.to_numpy())
+    m = reg(df, "y ~ x + fe(h)*v", Cluster("h"))
+    b, se, *_ = dense(pdf, ["x"], np.hstack([dummies(pdf.h.to_numpy()), hs]), 2, vcov="cluster", clusters=["h"])
+    assert np.isclose(m.coef[0], b[0]) and np.isclose(m.stderror[0], se[0])
     check(reg(df, "y ~ x + e + fe(g)", Cluster("t")), *dense(p, ["x", "e"], d, k, vcov="cluster", clusters=["t"])[:3])
 
 

@@ -15,7 +15,7 @@ import re
 
 from pyspark.sql import DataFrame
 
-from .common import over_texts
+from .common import kept, over_texts
 from .license_rules import KINDS, rules
 
 #: The base phrases.
@@ -34,6 +34,7 @@ class Scanner:
             # gated by its longest keyword first: the rarest, mostly
             self.keys.setdefault(max(words, key=len), []).append(k)
         self.words = frozenset(self.keys)
+        self.wanted = frozenset(w.encode() for *_, words, _ in self.rules for w in words) | {b"license"}
 
     def words_of(self, text: str | None) -> list[bytes]:
         return (text or "").encode().lower().translate(_SPACE).split()
@@ -75,21 +76,9 @@ class Scanner:
         line = f" {b' '.join(words).decode()} "
         return len(words), self.base(line) if "license" in have else [], self.detect(line, have)
 
-    @property
-    def wanted(self) -> frozenset:
-        if not hasattr(self, "_wanted"):
-            self._wanted = frozenset(w.encode() for *_, words, _ in self.rules for w in words) | {b"license"}
-        return self._wanted
 
-
-def _scanner():
-    global _SCANNER
-    if _SCANNER is None:
-        _SCANNER = Scanner()
-    return _SCANNER
-
-
-_SCANNER: Scanner | None = None
+def _scanner() -> Scanner:
+    return kept("license rules", Scanner)
 
 
 def detections(docs: DataFrame) -> DataFrame:

@@ -25,6 +25,8 @@ class Columns:
     exprs: list[Column]
 
 
+#: Values of a category that is a regressor, at most.
+MOST = 10_000
 NUMERIC = (T.NumericType, T.BooleanType)
 
 
@@ -47,15 +49,15 @@ def categories(df: DataFrame, parts, contrasts: dict) -> list[str]:
 
 
 def find_levels(sample: DataFrame, names: list[str]) -> dict[str, list]:
-    """The sorted values of each category on the sample, in one job. A category is a regressor with a column for each
-    value, so its values are few; they are bounded to keep a mistaken key column from reaching the driver."""
-    if not names:
-        return {}
-    got = sample.agg(*(F.sort_array(F.collect_set(F.col(f"`{n}`"))).alias(n) for n in names)).first()
+    """The sorted values of each category on the sample. A category is a regressor with a column for each value, so its
+    values are few; no more than MOST of them reach the driver, and a mistaken key column is told."""
+    out = {}
     for n in names:
-        if len(got[n]) > 10_000:
-            raise FormulaError(f"column {n} has {len(got[n])} values; absorb it with fe({n})")
-    return {n: got[n] for n in names}
+        values = [r[0] for r in sample.select(F.col(f"`{n}`")).distinct().limit(MOST + 1).collect()]
+        if len(values) > MOST:
+            raise FormulaError(f"column {n} has over {MOST} values; absorb it with fe({n})")
+        out[n] = sorted(values)
+    return out
 
 
 def _number(df: DataFrame, factor, functions: dict) -> Column:

@@ -81,6 +81,14 @@ def test_nested_and_duplicate_effects(df):
     assert m.coef[1] == 0 and np.isnan(m.stderror[1])
 
 
+def test_a_key_as_a_regressor_is_told(df, monkeypatch):
+    from panelspark.plans import design
+
+    monkeypatch.setattr(design, "MOST", 4)
+    with pytest.raises(ValueError, match="absorb it"):
+        reg(df, "y ~ s")
+
+
 def test_iterations(df, caplog):
     with caplog.at_level(logging.INFO, logger="panelspark"):
         m = reg(df, "y ~ x + fe(g) + fe(h)", maxiter=1)

@@ -21,11 +21,9 @@ ORACLES: dict[str, str] = {}
 DIGITS = 6
 
 
-def query(sql: str | None = None, name: str | None = None):
+def query(sql: str, name: str | None = None):
     def register(f):
-        QUERIES[name or f.__name__] = f
-        if sql is not None:
-            ORACLES[name or f.__name__] = sql
+        QUERIES[name or f.__name__], ORACLES[name or f.__name__] = f, sql
         return f
 
     return register
@@ -368,12 +366,28 @@ def partial_out_query(spark, sf_dir):
     return out.df.select("o_orderkey", (F.round("resid_o_totalprice", ROUND) + 0.0).alias("resid_o_totalprice"))
 
 
-@query()
+BOTH = "t AS (SELECT l_suppkey AS g, l_extendedprice - avg(l_extendedprice) OVER w AS y, l_quantity - avg(l_quantity) OVER w AS x, l_tax - avg(l_tax) OVER w AS t FROM lineitem WINDOW w AS (PARTITION BY l_suppkey)), p AS (SELECT g, sum(t*y)/sum(t*t) AS sy, sum(t*x)/sum(t*t) AS sx FROM t GROUP BY g), r AS (SELECT y - sy*t AS y, x - sx*t AS x FROM t JOIN p USING (g)), c AS (SELECT count(*) AS n, sum(x*x) AS sxx, sum(x*y) AS sxy FROM r), fit AS (SELECT any_value(n) AS n, any_value(sxx) AS sxx, any_value(sxy) AS sxy, sum(pow(x*(y - sxy/sxx*x), 2)) AS m, (SELECT count(*) FROM p) AS g FROM r, c)"
+
+
+@query(term_rows([("l_quantity", "sxy/sxx", "sqrt(n*1.0/(n-1-2*g)*m)/sxx"), ("l_tax", "0.0*n", None)], BOTH))
 def fe_level_and_slope(spark, sf_dir):
-    """Levels and slopes on the same groups; held against dense algebra in the tests."""
     return terms(spark, reg(lineitem(spark, sf_dir), "l_extendedprice ~ l_quantity + fe(l_suppkey)*l_tax", Robust()))
 
 
-@query()
+def _turn(column: str, inner: str) -> str:
+    return f"SELECT k, g, h, l, y - avg(y) OVER (PARTITION BY {column}) AS y, x1 - avg(x1) OVER (PARTITION BY {column}) AS x1, x2 - avg(x2) OVER (PARTITION BY {column}) AS x2 FROM ({inner})"
+
+
+THREE = f"""WITH RECURSIVE s0 AS (SELECT l_suppkey AS g, l_partkey AS h, l_linenumber AS l, l_extendedprice AS y, l_quantity AS x1, l_discount AS x2, count(*) OVER (PARTITION BY l_partkey) AS ch, count(*) OVER (PARTITION BY l_suppkey) AS cg, count(*) OVER (PARTITION BY l_linenumber) AS cl FROM lineitem),
+it AS (SELECT 0 AS k, g, h, l, y, x1, x2 FROM s0 WHERE ch > 1 AND cg > 1 AND cl > 1 UNION ALL SELECT k + 1, g, h, l, y, x1, x2 FROM ({_turn('l', _turn('h', _turn('g', 'SELECT * FROM it WHERE k < 40')))})),
+d AS (SELECT * FROM it WHERE k = 40),
+b AS (SELECT count(*) AS n, count(DISTINCT g)*1.0 AS gg, 1 + count(DISTINCT h) + count(DISTINCT l) AS absorbed, sum(x1*x1) AS s11, sum(x1*x2) AS s12, sum(x2*x2) AS s22, sum(x1*y) AS s1y, sum(x2*y) AS s2y FROM d),
+a AS (SELECT *, s11*s22-s12*s12 AS d, (s22*s1y-s12*s2y)/(s11*s22-s12*s12) AS b1, (s11*s2y-s12*s1y)/(s11*s22-s12*s12) AS b2, s22/(s11*s22-s12*s12) AS a11, -s12/(s11*s22-s12*s12) AS a12, -s12/(s11*s22-s12*s12) AS a21, s11/(s11*s22-s12*s12) AS a22 FROM b),
+c AS (SELECT d.g, sum(x1*(y-b1*x1-b2*x2)) AS u, sum(x2*(y-b1*x1-b2*x2)) AS v FROM d, a GROUP BY d.g),
+z AS (SELECT sum(u*u) AS m11, sum(u*v) AS m12, sum(v*v) AS m22 FROM c),
+fit AS (SELECT *, (n-1.0)/(n-2-absorbed)*gg/(gg-1) AS k FROM a, z) """
+
+
+@query(THREE + f"SELECT 'l_quantity' AS term, {sig_sql('b1')} AS estimate, {sig_sql(SANDWICH.format(i=1))} AS std_error FROM fit UNION ALL SELECT 'l_discount', {sig_sql('b2')}, {sig_sql(SANDWICH.format(i=2))} FROM fit")
 def fe_three_way_cluster(spark, sf_dir):
     return terms(spark, reg(lineitem(spark, sf_dir), "l_extendedprice ~ l_quantity + l_discount + fe(l_suppkey) + fe(l_partkey) + fe(l_linenumber)", Cluster("l_suppkey")))

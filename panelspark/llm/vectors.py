@@ -66,7 +66,7 @@ def principal(classes: DataFrame, width: int, dims: int) -> tuple[np.ndarray, np
     return mean, axes[:, np.argsort(-values, kind="stable")[:dims]]
 
 
-def _blocks(size: int, dims: int):
+def _blocks(size: int):
     """Cuts the sorted rows of a task into blocks of one label and length, each with the box of its grid values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +165,7 @@ def _forest(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(a), np.concatenate(b)
 
 
-def _join_blocks(epsilon: float, threshold: float, dims: int):
+def _join_blocks(epsilon: float, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple[np.ndarray, ...]] = []
@@ -174,7 +174,7 @@ def _join_blocks(epsilon: float, threshold: float, dims: int):
 
                 def load(side: str, r=r) -> tuple[np.ndarray, ...]:
                     v = np.frombuffer(r[f"{side}_vectors"], np.float64).reshape(-1, r["size"])
-                    return np.frombuffer(r[f"{side}_grids"], np.float64).reshape(-1, dims), _units(list(v), r["size"]), np.frombuffer(r[f"{side}_reps"], np.int64), np.frombuffer(r[f"{side}_counts"], np.int64)
+                    return np.frombuffer(r[f"{side}_grids"], np.float64).reshape(-1, DIMS), _units(list(v), r["size"]), np.frombuffer(r[f"{side}_reps"], np.int64), np.frombuffer(r[f"{side}_counts"], np.int64)
 
                 same = r["a"] == r["b"]
                 p, x, rep_a, n_a = load("a")
@@ -218,7 +218,7 @@ def block_pairs(blocks: DataFrame, n: int, epsilon: float) -> DataFrame:
     return pairs
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.98, dims: int = DIMS, block: int = BLOCK) -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = 0.98, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of (vec_id, embedding, label)."""
     rows = vectors.select("vec_id", F.col("label").alias("group"), F.when(usable(F.col("embedding")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.col("embedding")).alias("vector"))
     classes = checkpoint(rows.where(F.col("vector").isNotNull()).groupBy(F.col("group").alias("label"), "vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
@@ -226,7 +226,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, dims: int = DIMS,
     if width is None:
         return vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     epsilon = float(np.sqrt(max(2 - 2 * threshold, 0.0)))
-    mean, axes = principal(classes, width, dims)
+    mean, axes = principal(classes, width, DIMS)
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -240,7 +240,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, dims: int = DIMS,
     width_out = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["label", F.size("vector"), *cells, "rep"]
     kind = classes.schema["label"].dataType.simpleString()
-    made = placed.repartitionByRange(width_out, *order).sortWithinPartitions(*order).mapInArrow(_blocks(block, dims), f"task long, number long, label {kind}, size long, low array<double>, high array<double>, reps binary, counts binary, grids binary, vectors binary")
+    made = placed.repartitionByRange(width_out, *order).sortWithinPartitions(*order).mapInArrow(_blocks(block), f"task long, number long, label {kind}, size long, low array<double>, high array<double>, reps binary, counts binary, grids binary, vectors binary")
     made = checkpoint(made)
     # tasks are in sorted order; their block counts, one number a task, place the blocks in one sequence
     counts = sorted((r["task"], r["n"]) for r in made.groupBy("task").agg(F.count("*").alias("n")).collect())
@@ -254,7 +254,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, dims: int = DIMS,
     side = lambda s: blocks.select(F.col("place").alias(f"{s}_at"), *(F.col(c).alias(f"{s}_{c}") for c in ("label", "reps", "counts", "grids", "vectors")), F.col("size").alias(f"{s}_size"))
     tiles = pairs.repartition(width_out, "a", "b").join(side("a"), F.col("a") == F.col("a_at")).join(side("b"), F.col("b") == F.col("b_at")).where((F.col("a_label") == F.col("b_label")) & (F.col("a_size") == F.col("b_size")))
     sent = tiles.select("a", "b", F.col("a_size").alias("size"), *(f"{s}_{c}" for s in "ab" for c in ("reps", "counts", "grids", "vectors")))
-    found = checkpoint(sent.mapInArrow(_join_blocks(epsilon, threshold, DIMS), "a long, b long, links long, is_link boolean"))
+    found = checkpoint(sent.mapInArrow(_join_blocks(epsilon, threshold), "a long, b long, links long, is_link boolean"))
     parts = connected_components(found.where("is_link").select("a", "b"))
     links = found.where("not is_link").groupBy(F.col("a").alias("link_rep")).agg(F.sum("links").alias("links"))
     named = classes.join(links, F.col("rep") == F.col("link_rep"), "left").join(parts, F.col("rep") == F.col("node"), "left").select(F.col("label").alias("c_label"), F.col("vector").alias("c_vector"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))

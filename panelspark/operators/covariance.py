@@ -61,16 +61,25 @@ class Cluster(Covariance):
         return f"Cluster({', '.join(self.clusters)})"
 
     def meat(self, rows, scores):
-        k = len(scores)
-        named = rows.select(*(F.col(f"g_{i}") for i in range(len(self.clusters))), *(s.alias(f"s{j}") for j, s in enumerate(scores)))
+        k, m = len(scores), len(self.clusters)
+        named = rows.select(*(F.col(f"g_{i}") for i in range(m)), *(s.alias(f"s{j}") for j, s in enumerate(scores)))
+        add = lambda df, which: df.groupBy(*(f"g_{i}" for i in which)).agg(*(F.sum(f"s{j}").alias(f"s{j}") for j in range(k)))
         total, counts = np.zeros((k, k)), {}
-        for size in range(1, len(self.clusters) + 1):
-            for which in combinations(range(len(self.clusters)), size):
-                groups = named.groupBy(*(f"g_{i}" for i in which)).agg(*(F.sum(f"s{j}").alias(f"s{j}") for j in range(k)))
-                part, (count,) = cross(groups, [F.col(f"s{j}") for j in range(k)], extra=[F.count("*")])
-                total += part if size % 2 else -part
-                if size == 1:
-                    counts[self.clusters[which[0]]] = count
+        # rows are read once, into the finest groups; the coarser ones are sums of those
+        finest = add(named, range(m))
+        if m > 1:
+            finest = finest.persist()
+        try:
+            for size in range(m, 0, -1):
+                for which in combinations(range(m), size):
+                    groups = finest if size == m else add(finest, which)
+                    part, (count,) = cross(groups, [F.col(f"s{j}") for j in range(k)], extra=[F.count("*")])
+                    total += part if size % 2 else -part
+                    if size == 1:
+                        counts[self.clusters[which[0]]] = count
+        finally:
+            if m > 1:
+                finest.unpersist()
         return total, counts
 
     def scale(self, n, dof, counts):

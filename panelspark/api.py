@@ -146,7 +146,7 @@ def partial_out(
     for i, level in enumerate(levels):
         own = [(F.col(f"t{e}_{y}") - sum((F.lit(float(b[k, y])) * F.col(f"t{e}_{x}") for k, x in enumerate(xs)), F.lit(0.0))).alias(f"__fe{e}_{y}") for e in level.effects for y in ys]
         out = join_level(out, level, own, f"__{i}_")
-    used = p.condition
+    used = F.coalesce(p.condition, F.lit(False))
     for i in range(len(levels)):
         used = used & F.coalesce(F.col(f"__{i}_found"), F.lit(False))
     named = []

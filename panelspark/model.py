@@ -219,8 +219,8 @@ class Model:
         """The table with a column that says which rows were used."""
         p = self.prepared
         if not self.levels:
-            return p.df.withColumn(name, p.condition)
-        return self._clean(self._with_effects(p.df).withColumn(name, p.condition & self._found()))
+            return p.df.withColumn(name, F.coalesce(p.condition, F.lit(False)))
+        return self._clean(self._with_effects(p.df).withColumn(name, F.coalesce(p.condition, F.lit(False)) & self._found()))
 
     def predict(self, df: DataFrame, name: str = "prediction", per_effect: bool = False) -> DataFrame:
         """The rows of ``df`` with the fitted value, effects included; null where a regressor or key is null or the

@@ -22,13 +22,14 @@ def condition(df: DataFrame, variables: list[str], weights: str | None, subset,
     """Complete in all variables, of positive weight, within the subset, with all clusters known.
 
     Only nulls count as missing. NaN passes here, and is an error later (except for weights, where it is not positive).
+    The condition may be null where it is not met, so that all its parts can be pushed to the scan.
     """
     tests = [F.col(f"`{v}`").isNotNull() for v in dict.fromkeys([*variables, *clusters])]
     if weights is not None:
         w = F.col(f"`{weights}`").cast("double")
-        tests.append(F.coalesce((w > 0) & ~F.isnan(w), F.lit(False)))
+        tests += [w > 0, ~F.isnan(w)]
     if subset is not None:
-        tests.append(F.coalesce(as_condition(df, subset).cast("boolean"), F.lit(False)))
+        tests.append(as_condition(df, subset).cast("boolean"))
     return reduce(lambda a, b: a & b, tests, F.lit(True))
 
 

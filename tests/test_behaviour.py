@@ -109,3 +109,12 @@ def test_no_plan_has_a_cross_join(df):
     for out in (m.predict(df), m.residuals(), m.fe(), m.esample()):
         plan = out._jdf.queryExecution().optimizedPlan().toString()
         assert "Join Inner\n" not in plan and "Cartesian" not in plan
+
+
+def test_unknown_conditions_are_false(spark):
+    df = spark.createDataFrame([(1.0, 1.0, True), (2.0, 3.0, None), (4.0, 2.0, True), (5.0, 7.0, False), (6.0, 1.0, True), (None, 1.0, True)], "y double, x double, keep boolean")
+    m = reg(df, "y ~ x", subset="keep", save="all")
+    assert m.nobs == 3
+    used = {(r.y, r.x): r._esample for r in m.esample().collect()}
+    assert used == {(1.0, 1.0): True, (2.0, 3.0): False, (4.0, 2.0): True, (5.0, 7.0): False, (6.0, 1.0): True, (None, 1.0): False}
+    assert m.residuals().where("residual is null").count() == 3

@@ -6,8 +6,9 @@ each segment with each single bit of it left out; two fingerprints within the di
 such key, whatever the bits are. Members of a key are compared exactly.
 
 Results in odd cases: null and wordless texts have fingerprint zero and are linked like any other; texts shorter
-than a shingle are one shingle of all their words; equal texts have equal fingerprints and need no comparison; an
-empty table gives an empty table; further columns of the input are not carried along.
+than a shingle are one shingle of all their words; equal texts have equal fingerprints and need no comparison; a row
+without doc_id has the component of the rows of its fingerprint that have one (null if none has), but joins no others;
+repeated rows are kept; an empty table gives an empty table; further columns of the input are not carried along.
 """
 
 from __future__ import annotations

@@ -196,7 +196,6 @@ def test_row_outputs(data):
     keep = pruned(pdf, [["g"], ["h"]])
     p = pdf[keep].reset_index(drop=True)
     d = np.hstack([dummies(p.g.to_numpy()), dummies(p.h.to_numpy())])
-    *_, = dense(p, ["x"], d, 37)
     x = np.column_stack([p.x, d])
     fitted = x @ np.linalg.lstsq(x, p.y.to_numpy(), rcond=None)[0]
     got = m.predict(m.residuals()).toPandas().set_index("y")

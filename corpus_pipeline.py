@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import mixing, pieces, pii, quality, simhash
+from panelspark.llm import copies, mixing, pieces, pii, quality, simhash
 from panelspark.llm.common import checkpoint, checkpoint_folder, table
 from panelspark.llm.queries import tokenizer_path
 
@@ -19,6 +19,29 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.where(quality.score_column(model) >= quality.CUT)
 
 
+def one_row_of_each(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """One row of each group that ``rows`` name: that of smallest doc_id, rows without one last, then by hashes of the
+    text. Of rows alike in id and text one is kept. Only ids and hashes are shuffled with the groups; texts meet the
+    decision once."""
+    rows = checkpoint(rows)
+    key = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "h1", "h2")
+    kept = checkpoint(rows.groupBy("group").agg(F.min(key).alias("k")).select("k.doc_id", "k.h1", "k.h2"))
+    repeats = rows.join(kept, copies.same(rows, kept), "left_semi").groupBy("doc_id", "h1", "h2").count().where("count > 1").limit(1).count()
+    # names that no column of the input can have by chance
+    mine = [c.alias(f"__{name}") for c, name in zip(copies.identity(docs), ("id", "h1", "h2"), strict=True)]
+    marked = docs.select("*", *mine)
+    met = marked["__h1"].eqNullSafe(kept["h1"]) & marked["__h2"].eqNullSafe(kept["h2"]) & marked["__id"].eqNullSafe(kept["doc_id"])
+    out = marked.join(kept, met, "left_semi")
+    out = out.dropDuplicates(["__id", "__h1", "__h2"]) if repeats else out
+    return out.select(*docs.columns)
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one row of each group of texts that links join; two texts are linked from 0.8 of their different
+    five-word shingles in common."""
+    return one_row_of_each(docs, copies.near_copies(docs))
+
+
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of smallest doc_id of each group of near-duplicates (whole rows repeated with that id
     count once). Rows without a doc_id stay, as none can stand for its group. Only ids and fingerprints are shuffled with the groups; texts meet the decision once, by id."""
@@ -49,7 +72,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pieces.tokens(docs, tokenizer_path())
 
 
-STAGES = [("quality", keep_good), ("near_duplicates", keep_one_of_each_group), ("personal_data", hide_personal_data), ("mixing", mix_sources), ("encoding", encode)]
+STAGES = [("quality", keep_good), ("near_duplicates", keep_one_of_near_copies), ("personal_data", hide_personal_data), ("mixing", mix_sources), ("encoding", encode)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

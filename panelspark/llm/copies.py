@@ -1,0 +1,132 @@
+"""Near copies by exact likeness: texts whose sets of word shingles have at least 0.8 in common (Jaccard).
+
+Candidates come from MinHash: ``BANDS`` keys a text, each of ``ROWS`` least hashes, so that two texts at exactly 0.8
+share no key once in eight million pairs (less often above). Every link is decided on the whole sets of shingles.
+Texts with equal sets are one class. A key's members are compared with its first member, then, while they are not
+all in one group, with more and more of the next ones, until every pair that shares a key was compared or is joined.
+
+Results in odd cases: null and wordless texts have the empty set and are one class; texts shorter than a shingle
+are one shingle of all their words; repeated rows are kept; an empty table gives an empty table.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from .common import checkpoint, over_texts
+from .components import connected_components
+from .simhash import WORD
+
+SHINGLE = 5
+#: The least likeness of near copies, as a fraction.
+OVER, UNDER = 4, 5
+BANDS, ROWS = 40, 5
+#: Members of a key that the others are compared with grow by this factor from round to round.
+GROWTH = 16
+#: Hashes that are multiplied at once.
+STEP = 512
+
+_FACTORS = np.random.default_rng(11).integers(0, 2**64, BANDS * ROWS, dtype=np.uint64)[:, None] | np.uint64(1)
+
+
+def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The different XXH64 values (seed 42) of a text's word shingles, sorted."""
+    words = WORD.findall((text or "").encode().lower())
+    if not words:
+        return np.empty(0, np.uint64)
+    line, digest = b" ".join(words), xxhash.xxh64_intdigest
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    stops = ends[shingle - 1 :].tolist() or [len(line)]
+    starts = [0, *(ends[: len(stops) - 1] + 1).tolist()]
+    return np.unique(np.fromiter((digest(line[a:b], 42) for a, b in zip(starts, stops, strict=True)), np.uint64, len(stops)))
+
+
+def bands(x: np.ndarray) -> list[int]:
+    """The keys of a set of shingles, as signed longs."""
+    if not len(x):
+        return []
+    low = np.full(len(_FACTORS), 2**64 - 1, np.uint64)
+    for at in range(0, len(x), STEP):
+        np.minimum(low, (_FACTORS * x[None, at : at + STEP]).min(axis=1), out=low)
+    data, size = low.tobytes(), ROWS * 8
+    return np.array([xxhash.xxh64_intdigest(data[k * size : (k + 1) * size], k) for k in range(BANDS)], np.uint64).view(np.int64).tolist()
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return UNDER * common >= OVER * (len(a) + len(b) - common)
+
+
+def _sketches():
+    def f(texts: list) -> dict:
+        sets = [shingles(t) for t in texts]
+        return {
+            "node": np.array([xxhash.xxh64_intdigest(x.tobytes(), 7) for x in sets], np.uint64).view(np.int64).tolist(),
+            "size": [len(x) for x in sets],
+            "keys": [bands(x) for x in sets],
+        }
+
+    return f
+
+
+def _sets():
+    return lambda texts: {"set": [shingles(t).tobytes() for t in texts]}
+
+
+def _verdicts():
+    read = lambda x: np.frombuffer(x, np.uint64)
+    return lambda a, b: {"alike": [alike(read(x), read(y)) for x, y in zip(a, b, strict=True)]}
+
+
+def identity(docs: DataFrame) -> list[Column]:
+    """What tells rows of a group apart: the id and two hashes of the text."""
+    return [F.col("doc_id"), F.xxhash64("text").alias("h1"), F.hash("text").alias("h2")]
+
+
+def same(a: DataFrame, b: DataFrame) -> Column:
+    return a["h1"].eqNullSafe(b["h1"]) & a["h2"].eqNullSafe(b["h2"]) & a["doc_id"].eqNullSafe(b["doc_id"])
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, h1, h2, group) of every row; rows of one group are joined by links of near copies."""
+    sketch = over_texts(_sketches, "node long, size int, keys array<long>", "text").alias("r")
+    rows = checkpoint(docs.select(*identity(docs), sketch).select("doc_id", "h1", "h2", "r.*"))
+    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    classes = rows.groupBy("node").agg(F.first("size").alias("size"), F.first("keys").alias("keys"), F.min(F.struct("doc_id", "h1", "h2")).alias("who"))
+    classes = checkpoint(classes.repartition(width, "node"))
+    keyed = classes.select("node", "size", F.explode("keys").alias("key"))
+    w = Window.partitionBy("key")
+    members = checkpoint(keyed.withColumn("rank", F.row_number().over(w.orderBy(F.xxhash64("node"), "node"))).withColumn("n", F.count("*").over(w)).where("n > 1").drop("n"))
+    # the sets of texts that may have a copy
+    wanted = members.select("node").distinct().join(classes, "node").select("node", "who.*")
+    texts = docs.select(*identity(docs), "text")
+    found = texts.join(wanted, same(texts, wanted)).select("node", over_texts(_sets, "set binary", "text")["set"].alias("set"))
+    sets = checkpoint(found.groupBy("node").agg(F.first("set").alias("set")))
+    named = members.withColumn("group", F.col("node"))
+    links = tested = parts = None
+    low, high = 0, 1
+    while True:
+        # pairs of one of the present first members with each later one, not yet in one group
+        pivots = F.collect_list(F.when((F.col("rank") > low) & (F.col("rank") <= high), F.struct("rank", "node", "size", "group"))).over(w)
+        later = named.withColumn("first", pivots)
+        worth = lambda p: (p["rank"] < F.col("rank")) & (p["group"] != F.col("group")) & (F.least("size", p["size"]) * UNDER >= F.greatest("size", p["size"]) * OVER)
+        pairs = later.select("node", F.explode(F.filter("first", worth)).alias("p"))
+        pairs = pairs.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
+        pairs = checkpoint(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        left = sets.select(F.col("node").alias("a"), F.col("set").alias("x"))
+        right = sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
+        checked = pairs.join(left, "a").join(right, "b").select("a", "b", over_texts(_verdicts, "alike boolean", "x", "y")["alike"].alias("alike"))
+        new = checkpoint(checked.where("alike").select("a", "b"))
+        links = new if links is None else links.unionByName(new)
+        parts = checkpoint(connected_components(links))
+        low, high = high, high * GROWTH
+        # keys go on while their members that were not compared with all others are in several groups
+        joined = named.drop("group").where(F.col("rank") > low).join(parts, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
+        named = checkpoint(joined.withColumn("many", F.min("group").over(w) != F.max("group").over(w)).where("many").drop("many"))
+        if not named.limit(1).count():
+            break
+    return rows.join(parts, "node", "left").select("doc_id", "h1", "h2", F.coalesce("component", "node").alias("group"))

@@ -1,0 +1,95 @@
+import random
+
+import corpus_pipeline as cp
+
+from panelspark.llm import copies
+
+STAGE = dict(cp.STAGES)["near_duplicates"]
+SCHEMA = "doc_id long, text string, source string"
+
+
+def brute_sets(text):
+    words = (text or "").lower().split()
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def likeness(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def brute_groups(rows):
+    sets = [brute_sets(t) for _, t, *_ in rows]
+    comp = list(range(len(rows)))
+    changed = True
+    while changed:
+        changed = False
+        for i in range(len(rows)):
+            for j in range(len(rows)):
+                if comp[i] > comp[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                    comp[i], changed = comp[j], True
+    return comp
+
+
+def planted(n=40, seed=4):
+    """Texts, each with a copy whose likeness lies anywhere from 0.6 to 1."""
+    rnd = random.Random(seed)
+    rows = []
+    for i in range(n):
+        words = [f"w{rnd.randrange(5000)}" for _ in range(rnd.choice([40, 150, 700]))]
+        rows.append((i, " ".join(words), "s"))
+        for _ in range(rnd.randrange(len(words) // 45 + 2)):
+            words[rnd.randrange(len(words))] = f"x{rnd.randrange(5000)}"
+        rows.append((1000 + i, "\n".join(words), "t"))
+    return rows
+
+
+def test_the_stage_finds_planted_pairs_from_0_8(spark):
+    rows = planted() + [(5000, None, "n"), (5001, " ", "n"), (5002, "One two", "n"), (5003, "one  two", "n")]
+    near = [likeness(brute_sets(rows[k][1]), brute_sets(rows[k + 1][1])) for k in range(0, 80, 2)]
+    assert sum(0.8 <= x < 0.95 for x in near) >= 10 and sum(x < 0.8 for x in near) >= 5
+    comp = brute_groups(rows)
+    got = STAGE(spark, spark.createDataFrame(rows, SCHEMA), "")
+    assert got.columns == ["doc_id", "text", "source"]
+    assert sorted(r.doc_id for r in got.collect()) == sorted(rows[c][0] for c in set(comp))
+
+
+def test_groups_of_many_members(spark):
+    """Chains and crowds round one text: keys with many members that their first member does not reach."""
+    rnd = random.Random(8)
+    base = [f"w{i}" for i in range(100)]
+    rows = []
+    for i in range(90):
+        words = list(base)
+        for _ in range(rnd.randrange(5)):
+            at = rnd.randrange(0, 100)
+            words[at : at + rnd.randrange(1, 6)] = [f"y{rnd.randrange(10**6)}"]
+        rows.append((i, " ".join(words), "s"))
+    comp = brute_groups(rows)
+    assert len(set(comp)) > 3
+    got = copies.near_copies(spark.createDataFrame(rows, SCHEMA)).collect()
+    group = {r.doc_id: r.group for r in got}
+    assert len(got) == len(rows) and len(set(group.values())) == len(set(comp))
+    assert len({(group[i], comp[i]) for i in range(len(rows))}) == len(set(comp))
+
+
+def test_keys_miss_no_pair_at_the_bound():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        x = rng.integers(0, 2**64, 90, dtype=np.uint64)
+        a, b = np.sort(x[:81]), np.sort(x[9:])
+        assert copies.alike(a, b) and set(copies.bands(a)) & set(copies.bands(b))
+        assert not copies.alike(np.sort(x[:80]), b)
+
+
+def test_empty_table(spark):
+    assert STAGE(spark, spark.createDataFrame([], SCHEMA), "").collect() == []
+
+
+def test_rows_are_decided_one_by_one(spark):
+    rnd = random.Random(5)
+    a, b, c = (" ".join(f"w{rnd.randrange(5000)}" for _ in range(60)) for _ in range(3))
+    rows = [(1, a, "s"), (7, a, "s"), (7, b, "s"), (7, b, "t"), (None, c, "s"), (None, c, "s"), (None, a, "s"), (9, None, "s")]
+    got = [(r.doc_id, r.text) for r in STAGE(spark, spark.createDataFrame(rows, SCHEMA), "").collect()]
+    assert sorted(got, key=str) == sorted([(1, a), (7, b), (None, c), (9, None)], key=str)

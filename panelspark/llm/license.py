@@ -2,7 +2,7 @@
 
 A text is reduced to its lower-cased words. Base: the places where the words of a few phrases stand in a row.
 Beyond that, some hundreds of hand-written patterns name licences. A pattern is tried only on texts that hold all
-of its keywords. Detections are taken by priority (kind of rule), then length, then place, then order of
+the keywords of one of its spellings (``gates``). Detections are taken by priority (kind of rule), then length, then place, then order of
 writing; one that lies within a detection already taken is suppressed, others stay even if they overlap.
 
 Results in odd cases: null texts count as empty (no words, no labels, score 0); texts of any length are read whole;
@@ -12,6 +12,7 @@ repeated rows are kept; an empty table gives an empty table.
 from __future__ import annotations
 
 import re
+from re import _parser
 
 from pyspark.sql import DataFrame
 
@@ -26,15 +27,60 @@ BASE_SCORE = 0.5
 _SPACE = bytes(c if c >= 0x80 or chr(c) in "0123456789abcdefghijklmnopqrstuvwxyz" else 0x20 for c in range(256))
 
 
+#: Stands for a character that a pattern leaves open.
+OPEN = "\0"
+
+
+def spellings(pattern: str) -> set[str]:
+    """What a rule's pattern can match: every branch, with and without every optional part; open words are ``OPEN``."""
+
+    def of(nodes) -> set[str]:
+        found = {""}
+        for op, value in nodes:
+            kind = str(op)
+            if kind == "LITERAL":
+                own = {chr(value)}
+            elif kind == "IN":
+                own = {chr(x) for o, x in value if str(o) == "LITERAL"} if all(str(o) == "LITERAL" for o, _ in value) else {OPEN}
+            elif kind == "BRANCH":
+                own = set().union(*map(of, value[1]))
+            elif kind == "SUBPATTERN":
+                own = of(value[-1])
+            elif kind == "MAX_REPEAT":
+                least, most, part = value
+                own = ({""} if not least else set()) | of(part) if most else {""}
+            elif kind in ("ASSERT", "ASSERT_NOT", "AT"):
+                own = {""}
+            else:
+                raise ValueError(f"no spellings of {kind} in {pattern}")
+            found = {a + b for a in found for b in own}
+        return found
+
+    # words of a text are never empty, so no match has two blanks in a row
+    return {x for x in of(_parser.parse(pattern)) if "  " not in x and x == x.strip()}
+
+
+def gates(words: tuple[str, ...], pattern: str) -> list[frozenset]:
+    """Sets of words of which one occurs whole in every match: the rule's keywords for spellings that hold them,
+    else what such a spelling has of them and of the other forms of 'license', else all of its words."""
+    found = set()
+    for x in spellings(pattern):
+        own = frozenset(w for w in x.split() if OPEN not in w)
+        some = own & {*words, "license", "licence", "licenses", "licences"}
+        found.add(frozenset(words) if own.issuperset(words) else some if len(some) >= len(words) > 1 else own)
+    return sorted((g for g in found if not any(other < g for other in found)), key=sorted)
+
+
 class Scanner:
     def __init__(self):
-        self.rules = [(label, *KINDS[kind], words, re.compile(rf"(?<= )(?:{pattern})(?= )")) for label, kind, words, pattern in rules()]
-        self.keys: dict[str, list[int]] = {}
-        for k, (*_, words, _) in enumerate(self.rules):
-            # gated by its longest keyword first: the rarest, mostly
-            self.keys.setdefault(max(words, key=len), []).append(k)
+        self.rules = [(label, *KINDS[kind], gates(words, pattern), re.compile(rf"(?<= )(?:{pattern})(?= )")) for label, kind, words, pattern in rules()]
+        self.keys: dict[str, list[tuple[int, frozenset]]] = {}
+        for k, (*_, every, _) in enumerate(self.rules):
+            for gate in every:
+                # gated by its longest keyword first: the rarest, mostly
+                self.keys.setdefault(max(sorted(gate), key=len), []).append((k, gate))
         self.words = frozenset(self.keys)
-        self.wanted = frozenset(w.encode() for *_, words, _ in self.rules for w in words) | {b"license"}
+        self.wanted = frozenset(w.encode() for *_, every, _ in self.rules for g in every for w in g) | {b"license"}
 
     def words_of(self, text: str | None) -> list[bytes]:
         return (text or "").encode().lower().translate(_SPACE).split()
@@ -52,13 +98,11 @@ class Scanner:
     def detect(self, line: str, have: frozenset) -> list[tuple[int, int, str, float]]:
         """(first word, word after the last, label, confidence) of what is not suppressed, by place."""
         hits = []
-        for key in self.words & have:
-            for k in self.keys[key]:
-                label, priority, sure, words, pattern = self.rules[k]
-                if all(w in have for w in words):
-                    for m in pattern.finditer(line):
-                        start = line.count(" ", 0, m.start()) - 1
-                        hits.append((-priority, -(m[0].count(" ") + 1), start, k, label, sure))
+        for k in {k for key in self.words & have for k, gate in self.keys[key] if gate <= have}:
+            label, priority, sure, _, pattern = self.rules[k]
+            for m in pattern.finditer(line):
+                start = line.count(" ", 0, m.start()) - 1
+                hits.append((-priority, -(m[0].count(" ") + 1), start, k, label, sure))
         taken: list[tuple[int, int, str, float]] = []
         for _, size, start, _, label, sure in sorted(hits):
             end = start - size

@@ -70,3 +70,16 @@ def test_table(spark):
     assert all(set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1 for r in got)
     assert lic.detections(spark.createDataFrame(rows, SCHEMA)).where("doc_id = 3").first().found == []
     assert lic.digests(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_every_spelling_reaches_its_rule():
+    s = lic.Scanner()
+    for k, (label, _, words, pattern) in enumerate(rules()):
+        for x in lic.spellings(pattern):
+            line = " " + x.replace(lic.OPEN, "open") + " "
+            if s.rules[k][-1].search(line):
+                have = frozenset(line.split()) & {w.decode() for w in s.wanted}
+                assert any(g <= have for g in s.rules[k][-2]) and s.scan(line)[2], (label, line)
+    assert labels("Released under the MIT Licence") == ["mit"] and labels("the BSD Licence") == ["bsd"]
+    assert labels("noncommercial purposes only") == labels("non-commercial use only") == ["non-commercial"]
+    assert labels("FreeBSD license") == ["bsd-2-clause"] and labels("Mulan PSL v2") == ["mulan-psl-2.0"]

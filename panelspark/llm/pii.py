@@ -4,9 +4,11 @@ validates what it has found.
 
 Base kinds, each with the spans of its pattern, leftmost and non-overlapping within the kind: ``email``, ``ip``
 (four dotted numbers up to 255), ``card`` (14 to 19 digits that pass the Luhn test), ``phone`` (a plus sign and 10
-to 15 digits). Further kinds, found at cues: ``iban`` (letters and check digits valid modulo 97), ``account``
+to 15 digits). Further kinds, found at cues: ``iban`` (letters and check digits valid modulo 97, read whole
+where they start within 45 code points of the cue), ``account``
 (digits named by a cue as an account, a social security, tax or passport number), ``secret`` (a value named by a
-cue as a key, token or password) and ``login`` (user and password before the host of an address). ``dial`` and
+cue as a key, token or password, of any length from 16 on, or from 4 on with a digit where a separator follows a
+password's cue; shorter ones and words without a digit are not told from prose) and ``login`` (user and password before the host of an address). ``dial`` and
 ``pan`` are phone and card numbers in stretches that their patterns reject because more digits follow or precede.
 
 Spans count code points, ends exclusive. Results in odd cases: null and empty texts have no spans; kinds may overlap
@@ -30,7 +32,12 @@ BASE = KINDS[:4]
 # fixed values: cues of the further kinds, in lower case
 ACCOUNT_CUES = ("account", "acct", "a/c", "ssn", "social security", "passport", "tax id", "konto", "cuenta", "compte", "routing", "driver license", "license no", "id number")
 SECRET_CUES = ("token", "password", "passwd", "pwd", "secret", "api_key", "apikey", "api key", "access_key", "private_key", "bearer")
+PASSWORD_CUES = ("password", "passwd", "pwd", "secret")
 IBAN_CUES = ("iban",)
+#: An account number of a bank starts so many code points after its cue at most.
+IBAN_WINDOW = 45
+#: The least length of a secret, and of one that a password's cue and a separator announce.
+SECRET_LEAST, PASSWORD_LEAST = 16, 4
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _LABEL = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -41,7 +48,9 @@ _SHAPES = ((4, 4, 4, 4), (4, 6, 5), (16,), (15,))
 _DIAL = re.compile(r"[ ().0-9-]+")
 _BANK = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
 _NAMED = re.compile(r"[^0-9A-Za-z\n]{0,3}(?:(?:no|number|num|nr|id|is|#)[^0-9A-Za-z\n]{0,3}){0,2}([0-9](?:[ -]?[0-9]){5,19})(?![0-9])", re.I)
-_VALUE = re.compile(r"[A-Za-z_]{0,6}\s{0,2}(?:[:=]|=>|is)?\s{0,2}[\"']?([A-Za-z0-9+/_\-]{16,128})(?![A-Za-z0-9+/_\-])")
+_HEAD = re.compile(r"[A-Z]{2}[0-9]{2}")
+_VALUE = re.compile(r"[A-Za-z_]{0,6}\s{0,2}([:=]|=>|is)?\s{0,2}[\"']?([A-Za-z0-9+/_\-]+(?:\.[A-Za-z0-9+/_\-]+)*)")
+_PASSWORD = re.compile(r"[A-Za-z_]{0,6}[\"']?\s{0,2}(?:=>|[:=])\s{0,2}[\"']?([^\s\"'<>]+)")
 _LOGIN = re.compile(r"[A-Za-z0-9._~%+-]{1,64}:[^\s/@:\"'<>]{1,64}@")
 
 
@@ -96,6 +105,21 @@ def iban(text: str) -> bool:
     return 15 <= len(t) <= 34 and int("".join(str(int(c, 36)) for c in t[4:] + t[:4])) % 97 == 1
 
 
+def _secret(text: str, cue: int, at: int) -> tuple[int, int, int] | None:
+    """(start, end, where reading stopped) of the value after a cue; the end is 0 where it is no secret."""
+    if text[cue:at].lower() in PASSWORD_CUES and (m := _PASSWORD.match(text, at)):
+        value = m[1].rstrip(".,;:!?)]}")
+        if len(value) >= PASSWORD_LEAST and any(c.isdigit() for c in value):
+            return m.start(1), m.start(1) + len(value), m.end(1)
+    if not (m := _VALUE.match(text, at)):
+        return None
+    value = m[2]
+    # without a separator one part has the length, so that names of hosts and files in prose are none
+    size = len(value) if m[1] else max(map(len, value.split(".")))
+    good = size >= SECRET_LEAST and any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
+    return m.start(2), m.end(2) if good else 0, m.end(2)
+
+
 def _lower(text: str) -> str:
     """Lower case by code point: every letter stays at its place."""
     low = text.lower()
@@ -110,7 +134,7 @@ def spans(text: str | None) -> list[tuple[int, int, str]]:
     if _ANCHORS is None:
         _ANCHORS = _automaton()
     found: list[tuple[int, int, str]] = []
-    mail_end = dots_end = chain_end = dial_end = 0
+    mail_end = dots_end = chain_end = dial_end = value_end = bank_end = 0
     for end, (what, size) in _ANCHORS.iter(_lower(text)):
         at = end - size + 1
         if what == "digit":
@@ -159,14 +183,21 @@ def spans(text: str | None) -> list[tuple[int, int, str]]:
             if (m := _NAMED.match(text, end + 1)) and sum(c.isdigit() for c in m[1]) >= 6:
                 found.append((m.start(1), m.end(1), "account"))
         elif what == "secret":
-            if (m := _VALUE.match(text, end + 1)) and any(c.isdigit() for c in m[1]) and any(c.isalpha() for c in m[1]):
-                found.append((m.start(1), m.end(1), "secret"))
+            # a cue within a value that was read to its end starts none of its own
+            if end + 1 >= value_end:
+                value = _secret(text, at, end + 1)
+                if value:
+                    start, stop, whole = value
+                    value_end = whole
+                    if stop:
+                        found.append((start, stop, "secret"))
         elif what == "iban":
-            m = _BANK.search(text, end + 1, end + 46)
-            if m:
-                stop = next((e for e in range(m.end(), m.start() + 14, -1) if text[e - 1] != " " and iban(text[m.start() : e])), 0)
-                if stop:
-                    found.append((m.start(), stop, "iban"))
+            for head in _HEAD.finditer(text, end + 1, end + 1 + IBAN_WINDOW + 3):
+                if head.start() >= bank_end and (m := _BANK.match(text, head.start())):
+                    stop = next((e for e in range(m.end(), m.start() + 14, -1) if text[e - 1] != " " and iban(text[m.start() : e])), 0)
+                    if stop:
+                        bank_end = stop
+                        found.append((m.start(), stop, "iban"))
         elif m := _LOGIN.match(text, end + 1):
             found.append((m.start(), m.end() - 1, "login"))
     rank = {k: i for i, k in enumerate(KINDS)}

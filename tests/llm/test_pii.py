@@ -73,3 +73,24 @@ def test_table(spark):
     assert clean == {(None, "[IP]", 4), (2, None, None), (3, "", 0)}
     assert len(pii.detected(df).where("doc_id = 4").first().spans) == 1
     assert pii.digests(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_values_are_covered_whole():
+    key = "a1B2" * 50
+    assert kinds(f"token: {key}.") == [(key, "secret")] and kinds(f"api key {key}") == [(key, "secret")]
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9P"
+    assert kinds(f"Bearer {jwt}, then") == [(jwt, "secret")]
+    assert kinds("password: hunter2secret9") == [("hunter2secret9", "secret")] and kinds('pwd="p@ss1".') == [("p@ss1", "secret")]
+    assert kinds("the password is long, secret 12345 and password: please") == []
+    number = "GB82 WEST 1234 5698 7654 32"
+    assert kinds(f"iban of the other recipient is {number}") == [(number, "iban")]
+    assert kinds(f"IBAN GB83 WEST 1234 5698 or {number}") == [(number, "iban")]
+    assert pii.redact(f"secret={key}{key}") == "secret=[SECRET]"
+
+
+def test_many_cues_in_one_value_are_read_once():
+    import time
+
+    began = time.process_time()
+    assert pii.spans("token" * 40_000) == []
+    assert time.process_time() - began < 5

@@ -46,6 +46,8 @@ SECOND = frozenset("you your yours yourself u ur tu te toi ton ta tes vous votre
 WORD = re.compile(r"[^\W\d_]+")
 ODD = re.compile(r"[^\W\d_]+[*@$#0-9]+[^\W\d_]+|([^\W\d_])\1\1")
 LOUD = re.compile(r"\b[^\W\d_a-zß-öø-ÿ]{3,}\b")
+CAPITALS = bytes(range(ord("A"), ord("Z") + 1))
+BEYOND_ASCII = re.compile(r"[^\x00-\x7F]+")
 NAMES = 21
 
 
@@ -100,6 +102,13 @@ def _densest(hits: list[int]) -> int:
     return most
 
 
+def _capitals(text: str) -> int:
+    """Upper-case characters of every alphabet, as str.isupper tells them."""
+    plain = text.encode("ascii", "ignore")
+    own = len(plain) - len(plain.translate(None, CAPITALS))
+    return own if len(plain) == len(text) else own + sum(map(str.isupper, "".join(BEYOND_ASCII.findall(text))))
+
+
 def features(text: str | None, lexicon: Lexicon) -> list[float]:
     text = text or ""
     words = WORD.findall(text.lower())
@@ -124,7 +133,7 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
         float(_densest(every)),
         near / max(len(every), 1),
         100 * near / n,
-        sum(map(str.isupper, text)) / letters if len(text) < 2000 else (len(text) - len(_DROP.sub("", text))) / letters,
+        _capitals(text) / letters,
         len(LOUD.findall(text)) / n,
         100 * text.count("!") / size,
         100 * text.count("?") / size,
@@ -134,9 +143,6 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
     ]
 
 
-_DROP = re.compile("[A-ZÀ-ÖØ-Þ]")
-
-
 class Trees:
     """Boosted trees of fixed depth over binned features."""
 

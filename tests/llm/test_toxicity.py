@@ -61,3 +61,10 @@ def test_trees_fit_a_rule_of_two_features():
 
 def test_windows():
     assert toxicity._densest([]) == 0 and toxicity._densest([1, 2, 3, 40]) == 3
+
+
+def test_capitals_count_alike_at_every_length():
+    none = toxicity.Lexicon({}, {})
+    for text in ("ŠКΣA", "Šk Кот Σa bc "):
+        assert abs(toxicity.features(text * 10, none)[14] - toxicity.features(text * 1000, none)[14]) < 1e-12
+    assert toxicity.features("ŠК" * 2000, none)[14] == 1

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelspark.llm import copies, mixing, pieces, pii, quality, simhash
 from panelspark.llm.common import checkpoint, checkpoint_folder, table
+from panelspark.llm.components import connected_components
 from panelspark.llm.queries import tokenizer_path
 
 
@@ -19,6 +20,15 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.where(quality.score_column(model) >= quality.CUT)
 
 
+def by_fingerprint(docs: DataFrame) -> DataFrame:
+    """(doc_id, h1, h2, group) of every row by the fingerprints of op1's contract: four words, four of 64 bits."""
+    rows = docs.select(F.struct(*copies.identity(docs)).alias("doc_id"), "text")
+    prints = checkpoint(simhash.fingerprints(rows).select("doc_id.*", "fingerprint"))
+    classes = checkpoint(prints.select("fingerprint", F.col("fingerprint").alias("rep")).distinct())
+    parts = connected_components(simhash.near_links(classes)).select(F.col("node").alias("fingerprint"), "component")
+    return prints.join(parts, "fingerprint", "left").select("doc_id", "h1", "h2", F.coalesce("component", "fingerprint").alias("group"))
+
+
 def one_row_of_each(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """One row of each group that ``rows`` name: that of smallest doc_id, rows without one last, then by hashes of the
     text. Of rows alike in id and text one is kept. Only ids and hashes are shuffled with the groups; texts meet the
@@ -43,18 +53,8 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest doc_id of each group of near-duplicates (whole rows repeated with that id
-    count once). Rows without a doc_id stay, as none can stand for its group. Only ids and fingerprints are shuffled with the groups; texts meet the decision once, by id."""
-    named = simhash.near_duplicates(docs)
-    kept = checkpoint(named.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept")).distinct())
-    rows = docs.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi")
-    rows = rows.dropDuplicates(["doc_id"]) if _repeats(docs) else rows
-    return rows.unionByName(docs.where(F.col("doc_id").isNull()))
-
-
-def _repeats(docs: DataFrame) -> bool:
-    """Whether a doc_id stands in more than one row."""
-    return bool(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count())
+    """The same decision on groups by op1's fingerprints, which link far fewer near copies; not a stage."""
+    return one_row_of_each(docs, by_fingerprint(docs))
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline as cp
+import pytest
 
 from panelspark.llm import copies
 
@@ -87,9 +88,10 @@ def test_empty_table(spark):
     assert STAGE(spark, spark.createDataFrame([], SCHEMA), "").collect() == []
 
 
-def test_rows_are_decided_one_by_one(spark):
+@pytest.mark.parametrize("stage", [STAGE, cp.keep_one_of_each_group])
+def test_rows_are_decided_one_by_one(spark, stage):
     rnd = random.Random(5)
     a, b, c = (" ".join(f"w{rnd.randrange(5000)}" for _ in range(60)) for _ in range(3))
     rows = [(1, a, "s"), (7, a, "s"), (7, b, "s"), (7, b, "t"), (None, c, "s"), (None, c, "s"), (None, a, "s"), (9, None, "s")]
-    got = [(r.doc_id, r.text) for r in STAGE(spark, spark.createDataFrame(rows, SCHEMA), "").collect()]
+    got = [(r.doc_id, r.text) for r in stage(spark, spark.createDataFrame(rows, SCHEMA), "").collect()]
     assert sorted(got, key=str) == sorted([(1, a), (7, b), (None, c), (9, None)], key=str)

@@ -50,6 +50,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def tasks(spark: SparkSession, rows: int, most: int = 2_000_000, least: int = 20_000) -> int:
+    """How many tasks share so many short rows: the session's number of shuffle partitions, fewer where that would
+    leave a task under ``least`` rows, more where it would be given over ``most``."""
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, -(-rows // most), min(width, -(-rows // least)))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -3,7 +3,7 @@ import random
 import corpus_pipeline as cp
 import pytest
 
-from panelspark.llm import copies
+from panelspark.llm import simhash
 
 STAGE = dict(cp.STAGES)["near_duplicates"]
 SCHEMA = "doc_id long, text string, source string"
@@ -67,21 +67,49 @@ def test_groups_of_many_members(spark):
         rows.append((i, " ".join(words), "s"))
     comp = brute_groups(rows)
     assert len(set(comp)) > 3
-    got = copies.near_copies(spark.createDataFrame(rows, SCHEMA)).collect()
+    got = simhash.near_copies(spark.createDataFrame(rows, SCHEMA)).collect()
     group = {r.doc_id: r.group for r in got}
     assert len(got) == len(rows) and len(set(group.values())) == len(set(comp))
     assert len({(group[i], comp[i]) for i in range(len(rows))}) == len(set(comp))
 
 
-def test_keys_miss_no_pair_at_the_bound():
+@pytest.mark.parametrize("rows", [1, 50_000, 10**7, 10**10])
+def test_segments_miss_few_pairs_at_the_bound(rows):
     import numpy as np
 
     rng = np.random.default_rng(3)
+    half, number = simhash.cut(rows)
+    longs = -(-2 * half * number // 64)
+    assert longs >= simhash.SKETCH and 2 * half >= np.log2(rows) + 2
+    missed = far = 0
     for _ in range(300):
-        x = rng.integers(0, 2**64, 90, dtype=np.uint64)
-        a, b = np.sort(x[:81]), np.sort(x[9:])
-        assert copies.alike(a, b) and set(copies.bands(a)) & set(copies.bands(b))
-        assert not copies.alike(np.sort(x[:80]), b)
+        x = rng.integers(0, 2**64, 180, dtype=np.uint64)
+        a, b = np.sort(x[:162]), np.sort(x[18:])
+        assert simhash.alike(a, b) and not simhash.alike(np.sort(x[:160]), b)
+        raw = [np.frombuffer(simhash.wide(y, longs), np.uint64) for y in (a, b)]
+        bits = np.unpackbits((raw[0] ^ raw[1]).view(np.uint8), bitorder="little")[: 2 * half * number]
+        missed += bits.reshape(number, -1).sum(axis=1).min() > 1
+        far += np.bitwise_count(raw[0] ^ raw[1])[: simhash.SKETCH].sum() > simhash.reach()
+    assert missed <= 6 and far <= 1
+
+
+def test_a_crowd_over_the_block(spark, monkeypatch):
+    """Half segments of more members than a block, by number and by length, and crowds and pairs in many tasks."""
+    rnd = random.Random(2)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(0, " ".join(base), "s")]
+    for i in range(1, 120):
+        words = list(base)
+        for at in rnd.sample(range(0, 115, 6), rnd.randrange(1, 4)):
+            words[at] = f"y{rnd.randrange(10**6)}"
+        rows.append((i, " ".join(words), "s"))
+    comp = brute_groups(rows)
+    monkeypatch.setattr(simhash, "SMALL", 4)
+    monkeypatch.setattr(simhash, "CROWD", 32)
+    monkeypatch.setattr(simhash, "HELD", 2000)
+    monkeypatch.setattr(simhash, "BUCKET", 40_000)
+    group = {r.doc_id: r.group for r in simhash.near_copies(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert len(set(group.values())) == len(set(comp)) == len({(group[i], comp[i]) for i in range(len(rows))})
 
 
 def test_empty_table(spark):

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import copies, mixing, pieces, pii, quality, simhash
+from panelspark.llm import mixing, pieces, pii, quality, simhash
 from panelspark.llm.common import checkpoint, checkpoint_folder, table
 from panelspark.llm.components import connected_components
 from panelspark.llm.queries import tokenizer_path
@@ -22,7 +22,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def by_fingerprint(docs: DataFrame) -> DataFrame:
     """(doc_id, h1, h2, group) of every row by the fingerprints of op1's contract: four words, four of 64 bits."""
-    rows = docs.select(F.struct(*copies.identity(docs)).alias("doc_id"), "text")
+    rows = docs.select(F.struct(*simhash.identity(docs)).alias("doc_id"), "text")
     prints = checkpoint(simhash.fingerprints(rows).select("doc_id.*", "fingerprint"))
     classes = checkpoint(prints.select("fingerprint", F.col("fingerprint").alias("rep")).distinct())
     parts = connected_components(simhash.near_links(classes)).select(F.col("node").alias("fingerprint"), "component")
@@ -36,9 +36,9 @@ def one_row_of_each(docs: DataFrame, rows: DataFrame) -> DataFrame:
     rows = checkpoint(rows)
     key = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "h1", "h2")
     kept = checkpoint(rows.groupBy("group").agg(F.min(key).alias("k")).select("k.doc_id", "k.h1", "k.h2"))
-    repeats = rows.join(kept, copies.same(rows, kept), "left_semi").groupBy("doc_id", "h1", "h2").count().where("count > 1").limit(1).count()
+    repeats = rows.join(kept, simhash.same(rows, kept), "left_semi").groupBy("doc_id", "h1", "h2").count().where("count > 1").limit(1).count()
     # names that no column of the input can have by chance
-    mine = [c.alias(f"__{name}") for c, name in zip(copies.identity(docs), ("id", "h1", "h2"), strict=True)]
+    mine = [c.alias(f"__{name}") for c, name in zip(simhash.identity(docs), ("id", "h1", "h2"), strict=True)]
     marked = docs.select("*", *mine)
     met = marked["__h1"].eqNullSafe(kept["h1"]) & marked["__h2"].eqNullSafe(kept["h2"]) & marked["__id"].eqNullSafe(kept["doc_id"])
     out = marked.join(kept, met, "left_semi")
@@ -49,7 +49,7 @@ def one_row_of_each(docs: DataFrame, rows: DataFrame) -> DataFrame:
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of texts that links join; two texts are linked from 0.8 of their different
     five-word shingles in common."""
-    return one_row_of_each(docs, copies.near_copies(docs))
+    return one_row_of_each(docs, simhash.near_copies(docs))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

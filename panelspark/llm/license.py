@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from re import _parser
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import kept, over_texts
@@ -71,6 +72,11 @@ def gates(words: tuple[str, ...], pattern: str) -> list[frozenset]:
     return sorted((g for g in found if not any(other < g for other in found)), key=sorted)
 
 
+def _blanks(line: str) -> np.ndarray:
+    """The places of the blanks of a line, so that words before a place are counted by a search."""
+    return np.fromiter((m.start() for m in re.finditer(" ", line)), np.int64)
+
+
 class Scanner:
     def __init__(self):
         self.rules = [(label, *KINDS[kind], gates(words, pattern), re.compile(rf"(?<= )(?:{pattern})(?= )")) for label, kind, words, pattern in rules()]
@@ -87,27 +93,38 @@ class Scanner:
 
     def base(self, line: str) -> list[tuple[int, str]]:
         """(place, label) of every base phrase in a line of words with a blank before and after each."""
-        found = []
+        blanks, found = _blanks(line), []
         for phrase, label in PHRASES.items():
             at = line.find(f" {phrase} ")
             while at >= 0:
-                found.append((line.count(" ", 0, at), label))
+                found.append((int(np.searchsorted(blanks, at)), label))
                 at = line.find(f" {phrase} ", at + 1)
         return sorted(found)
 
     def detect(self, line: str, have: frozenset) -> list[tuple[int, int, str, float]]:
         """(first word, word after the last, label, confidence) of what is not suppressed, by place."""
-        hits = []
+        hits, blanks = [], _blanks(line)
         for k in {k for key in self.words & have for k, gate in self.keys[key] if gate <= have}:
             label, priority, sure, _, pattern = self.rules[k]
             for m in pattern.finditer(line):
-                start = line.count(" ", 0, m.start()) - 1
-                hits.append((-priority, -(m[0].count(" ") + 1), start, k, label, sure))
-        taken: list[tuple[int, int, str, float]] = []
+                hits.append((-priority, -(m[0].count(" ") + 1), int(np.searchsorted(blanks, m.start())) - 1, k, label, sure))
+        starts = sorted({h[2] for h in hits})
+        place = {x: i for i, x in enumerate(starts)}
+        # furthest end of what is taken, by ranges of starts (a Fenwick tree)
+        reach, taken = [0] * (len(starts) + 1), []
         for _, size, start, _, label, sure in sorted(hits):
-            end = start - size
-            if not any(a <= start and end <= b for a, b, *_ in taken):
-                taken.append((start, end, label, sure))
+            end, i = start - size, place[start] + 1
+            furthest = 0
+            while i:
+                furthest = max(furthest, reach[i])
+                i &= i - 1
+            if furthest >= end:
+                continue
+            taken.append((start, end, label, sure))
+            i = place[start] + 1
+            while i < len(reach):
+                reach[i] = max(reach[i], end)
+                i += i & -i
         return sorted(taken)
 
     def scan(self, text: str | None) -> tuple[int, list[tuple[int, str]], list[tuple[int, int, str, float]]]:

@@ -83,3 +83,38 @@ def test_every_spelling_reaches_its_rule():
     assert labels("Released under the MIT Licence") == ["mit"] and labels("the BSD Licence") == ["bsd"]
     assert labels("noncommercial purposes only") == labels("non-commercial use only") == ["non-commercial"]
     assert labels("FreeBSD license") == ["bsd-2-clause"] and labels("Mulan PSL v2") == ["mulan-psl-2.0"]
+
+
+def test_many_notices_in_one_text():
+    """A log of notices takes time in proportion, and each notice is found at its place."""
+    import time
+
+    s = lic.Scanner()
+    notice = "Licensed under the MIT License and the Apache License version 2.0 or the GNU General Public License v3 or later. "
+    one = s.scan(notice)
+    began = time.perf_counter()
+    n, base, found = s.scan(notice * 20_000)
+    assert time.perf_counter() - began < 20
+    assert n == 20_000 * one[0] and len(base) == 20_000 * len(one[1]) and base[-1][0] == one[1][-1][0] + 19_999 * one[0]
+    inside = [(a % one[0], b - a, x) for a, b, x, _ in found if a // one[0] == (b - 1) // one[0]]
+    assert {(a, b - a, x) for a, b, x, _ in one[2]} <= set(inside)
+
+
+def test_suppression_against_every_pair():
+    import random
+
+    rnd = random.Random(4)
+    s = lic.Scanner()
+    words = "mit apache gnu general public license version 2 3 0 or later lesser bsd clause mozilla the under licensed".split()
+    for _ in range(60):
+        line = " " + " ".join(rnd.choice(words) for _ in range(400)) + " "
+        have = frozenset(line.split())
+        hits = []
+        for k in {k for key in s.words & have for k, gate in s.keys[key] if gate <= have}:
+            label, priority, sure, _, pattern = s.rules[k]
+            hits += [(-priority, -(m[0].count(" ") + 1), line.count(" ", 0, m.start()) - 1, k, label, sure) for m in pattern.finditer(line)]
+        taken = []
+        for _, size, start, _, label, sure in sorted(hits):
+            if not any(a <= start and start - size <= b for a, b, *_ in taken):
+                taken.append((start, start - size, label, sure))
+        assert s.detect(line, have) == sorted(taken)

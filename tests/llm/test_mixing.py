@@ -97,3 +97,17 @@ def test_odd_tables(spark):
     assert plain.columns == ["doc_id", "text", "source", "mix_key", "tokens"] and plain.count() == len(got)
     alone = mixing.mix(spark.createDataFrame(rows[-1:], SCHEMA)).collect()
     assert len(alone) == 1 and alone[0].mix_weight == 1
+
+
+def test_repeated_rows_keep_the_budget(spark):
+    """Rows of one key that stand where an epoch stops are read one by one until the budget is met."""
+    rows = [(1, "w " * 60, "hot", "", "")] * 200 + [(2, "v " * 50, "hot", "", "")] * 3 + [(10 + i, "w " * 100, "cold", "", "") for i in range(120)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    for budget in (6000, 12_000, 20_000):
+        plan = {r.source: r for r in mixing.plan(docs.select("source", mixing.n_tokens(F.col("text")).alias("n_tokens")), 0.95, 4.0, budget).collect()}
+        read = Counter()
+        for r in mixing.mix(docs, 0.95, 4.0, budget).collect():
+            read[r.source] += len(r.text.split())
+        for s, p in plan.items():
+            want = p.epochs * p.tokens
+            assert want - 1e-6 <= read[s] <= want + 100, (s, budget, read[s], want)

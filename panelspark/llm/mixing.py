@@ -30,7 +30,7 @@ BLOCK = 1024
 #: So many sources are broadcast at most; more are joined by a shuffle.
 SOURCES = 20_000
 #: The exponent's range is cut into so many parts, so many times over; one aggregate measures all inner ends.
-PARTS, STEPS = 16, 8
+PARTS, STEPS = 4, 15
 
 
 def n_tokens(text: Column) -> Column:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, tasks
 from .components import connected_components
 
 #: Principal dimensions of the grid, vectors of a block, of a directly compared interval, and children of an interval.
@@ -222,7 +222,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, block: int = BLOCK
     """(vec_id, n_links, component_id, kept) of every row of (vec_id, embedding, label)."""
     rows = vectors.select("vec_id", F.col("label").alias("group"), F.when(usable(F.col("embedding")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.col("embedding")).alias("vector"))
     classes = checkpoint(rows.where(F.col("vector").isNotNull()).groupBy(F.col("group").alias("label"), "vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
-    width = classes.agg(F.max(F.size("vector"))).first()[0]
+    width, number = classes.agg(F.max(F.size("vector")), F.count("*")).first()
     if width is None:
         return vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     epsilon = float(np.sqrt(max(2 - 2 * threshold, 0.0)))
@@ -237,7 +237,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, block: int = BLOCK
 
     placed = classes.mapInArrow(project, f"label {classes.schema['label'].dataType.simpleString()}, vector {classes.schema['vector'].dataType.simpleString()}, rep long, n long, grid array<double>")
     cells = [F.floor(F.get("grid", F.lit(k)) / F.lit(max(epsilon, 1e-6))) for k in range(DIMS)]
-    width_out = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a task sorts and cuts some hundred thousand vectors, and compares some hundred pairs of blocks
+    width_out = tasks(vectors.sparkSession, number, 400_000, 4 * block)
     order = ["label", F.size("vector"), *cells, "rep"]
     kind = classes.schema["label"].dataType.simpleString()
     made = placed.repartitionByRange(width_out, *order).sortWithinPartitions(*order).mapInArrow(_blocks(block), f"task long, number long, label {kind}, size long, low array<double>, high array<double>, reps binary, counts binary, grids binary, vectors binary")
@@ -250,9 +251,10 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, block: int = BLOCK
         n += m
     first = vectors.sparkSession.createDataFrame(starts, "first_task long, start long")
     blocks = made.join(F.broadcast(first), F.col("task") == F.col("first_task")).withColumn("place", F.col("start") + F.col("number") - 1).drop("first_task", "start", "task", "number")
-    pairs = block_pairs(blocks, n, epsilon)
+    pairs = checkpoint(block_pairs(blocks, n, epsilon))
+    width_pairs = tasks(vectors.sparkSession, pairs.count(), 400, 4)
     side = lambda s: blocks.select(F.col("place").alias(f"{s}_at"), *(F.col(c).alias(f"{s}_{c}") for c in ("label", "reps", "counts", "grids", "vectors")), F.col("size").alias(f"{s}_size"))
-    tiles = pairs.repartition(width_out, "a", "b").join(side("a"), F.col("a") == F.col("a_at")).join(side("b"), F.col("b") == F.col("b_at")).where((F.col("a_label") == F.col("b_label")) & (F.col("a_size") == F.col("b_size")))
+    tiles = pairs.repartition(width_pairs, "a", "b").join(side("a"), F.col("a") == F.col("a_at")).join(side("b"), F.col("b") == F.col("b_at")).where((F.col("a_label") == F.col("b_label")) & (F.col("a_size") == F.col("b_size")))
     sent = tiles.select("a", "b", F.col("a_size").alias("size"), *(f"{s}_{c}" for s in "ab" for c in ("reps", "counts", "grids", "vectors")))
     found = checkpoint(sent.mapInArrow(_join_blocks(epsilon, threshold), "a long, b long, links long, is_link boolean"))
     parts = connected_components(found.where("is_link").select("a", "b"))

@@ -410,7 +410,7 @@ def formula(response, terms) -> Formula:
         if not endo:
             raise FormulaError("no endogenous variable is left in the instrument block")
         if len(inst) < len(endo):
-            raise FormulaError("Model not identified. There must be at least as many instruments as endogenous variables")
+            raise FormulaError(f"not identified: {len(endo)} endogenous terms need as many instruments, there are {len(inst)}")
     f = Formula(tuple(p[0] for p in lhs), tuple(_once(plain)), tuple(_once(endo)), tuple(_once(inst)), tuple(effects), True if intercept is None else intercept, "")
     object.__setattr__(f, "text", _text(f, intercept))
     return f

@@ -391,3 +391,140 @@ fit AS (SELECT *, (n-1.0)/(n-2-absorbed)*gg/(gg-1) AS k FROM a, z) """
 @query(THREE + f"SELECT 'l_quantity' AS term, {sig_sql('b1')} AS estimate, {sig_sql(SANDWICH.format(i=1))} AS std_error FROM fit UNION ALL SELECT 'l_discount', {sig_sql('b2')}, {sig_sql(SANDWICH.format(i=2))} FROM fit")
 def fe_three_way_cluster(spark, sf_dir):
     return terms(spark, reg(lineitem(spark, sf_dir), "l_extendedprice ~ l_quantity + l_discount + fe(l_suppkey) + fe(l_partkey) + fe(l_linenumber)", Cluster("l_suppkey")))
+
+
+# ---- further forms --------------------------------------------------------------------------------------------
+
+WEIGHTED = "d AS (SELECT l_suppkey AS k, l_quantity AS w, l_extendedprice - sum(l_quantity*l_extendedprice) OVER s / sum(l_quantity) OVER s AS y, l_discount - sum(l_quantity*l_discount) OVER s / sum(l_quantity) OVER s AS x FROM lineitem WINDOW s AS (PARTITION BY l_suppkey)), fit AS (SELECT count(*) AS n, count(DISTINCT k) AS g, sum(w*x*x) AS sxx, sum(w*x*y) AS sxy, sum(w*y*y) AS syy FROM d)"
+
+
+@query(term_rows([("l_discount", "sxy/sxx", "sqrt((syy-sxy*sxy/sxx)/(n-1-g)/sxx)")], WEIGHTED))
+def fe_weighted(spark, sf_dir):
+    return terms(spark, reg(lineitem(spark, sf_dir), "l_extendedprice ~ l_discount + fe(l_suppkey)", weights="l_quantity"))
+
+
+PRODUCT = SLOPE.replace("l_tax*sy", "l_tax*l_discount*sy").replace("l_tax*sx", "l_tax*l_discount*sx").replace("sum(l_tax*l_extendedprice)/sum(l_tax*l_tax)", "sum(l_tax*l_discount*l_extendedprice)/sum(pow(l_tax*l_discount, 2))").replace("sum(l_tax*l_quantity)/sum(l_tax*l_tax)", "sum(l_tax*l_discount*l_quantity)/sum(pow(l_tax*l_discount, 2))")
+
+
+@query(term_rows([("l_quantity", "sxy/sxx", None)], PRODUCT))
+def fe_slope_of_product(spark, sf_dir):
+    return terms(spark, reg(lineitem(spark, sf_dir), "l_extendedprice ~ 0 + l_quantity + fe(l_suppkey)&l_tax&l_discount", drop_singletons=False)).withColumn("std_error", F.lit(None).cast("double"))
+
+
+@query(term_rows([("is_even", "sxy/sxx", None)], "o AS (SELECT *, CAST(o_custkey % 2 AS DOUBLE) AS is_even FROM orders), " + _within("o_orderstatus, o_orderpriority", "o", "o_totalprice", "is_even") + ", fit AS (SELECT * FROM c, gr)"))
+def fe_crossed_keys(spark, sf_dir):
+    df = orders(spark, sf_dir).selectExpr("*", "cast(o_custkey % 2 as double) as is_even")
+    return terms(spark, reg(df, "o_totalprice ~ is_even + fe(o_orderstatus)*fe(o_orderpriority)")).withColumn("std_error", F.lit(None).cast("double"))
+
+
+@query(term_rows([("(Intercept)", "a", "sqrt(s2 * (1.0 / n + mx * mx / sxx))"), ("l_quantity", "b", "sqrt(s2 / sxx)")], ONE.format(y="l_extendedprice", x="l_quantity", t="lineitem")))
+def explicit_intercept(spark, sf_dir):
+    return terms(spark, reg(lineitem(spark, sf_dir), "l_extendedprice ~ 1 + l_quantity"))
+
+
+FLAGS = "WITH g AS (SELECT l_returnflag AS f, regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a FROM lineitem GROUP BY 1), z AS (SELECT * FROM g WHERE f = (SELECT min(f) FROM g)) "
+
+
+@query(
+    FLAGS
+    + f"SELECT '(Intercept)' AS term, {sig_sql('a')} AS estimate FROM z UNION ALL SELECT 'l_quantity', {sig_sql('b')} FROM z UNION ALL SELECT 'l_returnflag: ' || g.f, {sig_sql('g.a - z.a')} FROM g, z WHERE g.f <> z.f UNION ALL SELECT 'l_returnflag: ' || g.f || ' & l_quantity', {sig_sql('g.b - z.b')} FROM g, z WHERE g.f <> z.f"
+)
+def levels_times_slope(spark, sf_dir):
+    return terms(spark, reg(lineitem(spark, sf_dir), "l_extendedprice ~ l_returnflag*l_quantity")).select("term", "estimate")
+
+
+@query(f"SELECT 'l_linenumber: ' || l_linenumber || ' & l_quantity' AS term, {sig_sql('sum(l_quantity*l_extendedprice)/sum(l_quantity*l_quantity)')} AS estimate FROM lineitem GROUP BY l_linenumber")
+def wide_model(spark, sf_dir):
+    return terms(spark, reg(lineitem(spark, sf_dir), "l_extendedprice ~ 0 + l_linenumber&l_quantity", contrasts={"l_linenumber": Dummy()})).select("term", "estimate")
+
+
+#: Sums within three clusters leave two degrees of freedom, for which the t distribution has a closed form.
+BOUNDS = ONE.format(y="l_extendedprice", x="l_quantity", t="lineitem").replace("fit AS", "o AS") + ", s AS (SELECT sum((l_quantity - mx)*(l_extendedprice - a - b*l_quantity)) AS s FROM lineitem, o GROUP BY l_returnflag), v AS (SELECT sum(s*s) AS m, count(*)*1.0 AS gg FROM s), fit AS (SELECT b, sqrt((n-1.0)/(n-2)*gg/(gg-1)*m)/sxx AS se FROM o, v)"
+
+
+@query(f"WITH {BOUNDS} SELECT 'l_quantity' AS term, {sig_sql('b')} AS estimate, {sig_sql('se')} AS std_error, round(1 - abs(b/se)/sqrt(2 + b/se*b/se), 6) + 0.0 AS p_value, {sig_sql('b - se*0.95/sqrt(2*0.975*0.025)')} AS conf_low, {sig_sql('b + se*0.95/sqrt(2*0.975*0.025)')} AS conf_high FROM fit")
+def coefficient_bounds(spark, sf_dir):
+    m = reg(lineitem(spark, sf_dir), "l_extendedprice ~ l_quantity", Cluster("l_returnflag"))
+    r = next(r for r in m.coeftable_df(spark).collect() if r.term == "l_quantity")
+    return spark.createDataFrame([(r.term, signif(r.estimate), signif(r.std_error), round(r.p_value, 6) + 0.0, signif(r.conf_low), signif(r.conf_high))], "term string, estimate double, std_error double, p_value double, conf_low double, conf_high double")
+
+
+THREE_KEYS = ["g", "h", "l"]
+SIGNED = [(sign, ", ".join(k)) for sign, k in [("+", "g"), ("+", "h"), ("+", "l"), ("-", "gh"), ("-", "gl"), ("-", "hl"), ("+", "ghl")]]
+
+
+@query(
+    term_rows(
+        [("l_quantity", "b1", SANDWICH.format(i=1)), ("l_discount", "b2", SANDWICH.format(i=2))],
+        f"{LINE2.replace(' FROM lineitem', ', l_linenumber AS l FROM lineitem')}, {TWO}, {INV2.replace('SELECT g, h,', 'SELECT g, h, l,')}, z AS (SELECT "
+        + ", ".join("".join(f"{s}p{i}.{m}" for i, (s, _) in enumerate(SIGNED)) + f" AS {m}" for m in ("m11", "m12", "m22"))
+        + ", least(p0.gg, p1.gg, p2.gg) AS gg FROM "
+        + ", ".join(f"{_two_way(k)} p{i}" for i, (_, k) in enumerate(SIGNED))
+        + "), fit AS (SELECT *, (n-1.0)/(n-3)*gg/(gg-1) AS k FROM a, z)",
+    )
+)
+def cluster_three_way(spark, sf_dir):
+    return terms(spark, reg(lineitem(spark, sf_dir), "l_extendedprice ~ l_quantity + l_discount", Cluster("l_suppkey", "l_partkey", "l_linenumber"))).where("term <> '(Intercept)'")
+
+
+OVER = "t AS (SELECT l_extendedprice AS y, l_quantity AS x, l_quantity + 10*l_tax + l_linenumber AS z, l_quantity*l_tax AS q FROM lineitem), m AS (SELECT count(*) AS n, avg(y) AS my, avg(x) AS mx, avg(z) AS mz, avg(q) AS mq FROM t), d AS (SELECT y-my AS y, x-mx AS x, z-mz AS z, q-mq AS q FROM t, m), c AS (SELECT count(*) AS n, sum(z*z) AS zz, sum(z*q) AS zq, sum(q*q) AS qq, sum(z*x) AS zx, sum(q*x) AS qx FROM d), p AS (SELECT n, (qq*zx - zq*qx)/(zz*qq - zq*zq) AS p1, (zz*qx - zq*zx)/(zz*qq - zq*zq) AS p2 FROM c), h AS (SELECT y, x, p1*z + p2*q AS h, n FROM d, p), b AS (SELECT any_value(n) AS n, sum(h*y)/sum(h*x) AS b, sum(h*h) AS hh FROM h), fit AS (SELECT any_value(b.b) AS b, sqrt(sum(pow(y - b.b*x, 2))/(any_value(b.n)-2)/any_value(b.hh)) AS se FROM h, b)"
+
+
+@query(term_rows([("l_quantity", "b", "se")], OVER))
+def iv_over_identified(spark, sf_dir):
+    df = lineitem(spark, sf_dir).selectExpr("*", "l_quantity + 10 * l_tax + l_linenumber as z", "l_quantity * l_tax as q")
+    return terms(spark, reg(df, "l_extendedprice ~ (l_quantity ~ z + q)")).where("term <> '(Intercept)'")
+
+
+#: l_quantity is spanned by the instruments and becomes a regressor; the rest is the instrumented slope beside it.
+MOVED = "s AS (SELECT regr_slope(l_extendedprice, l_quantity) AS ys, regr_intercept(l_extendedprice, l_quantity) AS yi, regr_slope(l_discount, l_quantity) AS ds, regr_intercept(l_discount, l_quantity) AS di, regr_slope(l_discount + l_tax, l_quantity) AS zs, regr_intercept(l_discount + l_tax, l_quantity) AS zi FROM lineitem), r AS (SELECT l_extendedprice - yi - ys*l_quantity AS y, l_discount - di - ds*l_quantity AS d, l_discount + l_tax - zi - zs*l_quantity AS z FROM lineitem, s), c AS (SELECT count(*) AS n, sum(z*y) AS zy, sum(z*d) AS zd, sum(z*z) AS zz FROM r), fit AS (SELECT any_value(zy/zd) AS b, sqrt(sum(pow(y - zy/zd*d, 2))/(any_value(n)-3)*any_value(zz))/abs(any_value(zd)) AS se FROM r, c)"
+
+
+@query(term_rows([("l_discount", "b", "se")], MOVED))
+def iv_reclassified(spark, sf_dir):
+    df = lineitem(spark, sf_dir).selectExpr("*", "2 * l_quantity as twice", "l_discount + l_tax as z")
+    return terms(spark, reg(df, "l_extendedprice ~ (l_quantity + l_discount ~ twice + z)")).where("term = 'l_discount'")
+
+
+CASCADE = "WITH r0 AS (SELECT l_orderkey AS g, l_partkey * 8 + l_linenumber AS h FROM lineitem)" + "".join(f", r{k} AS (SELECT g, h FROM (SELECT g, h, count(*) OVER (PARTITION BY {'gh'[k % 2]}) AS c FROM r{k - 1}) WHERE c > 1)" for k in range(1, 31))
+
+
+@query(CASCADE + " SELECT 'nobs' AS fact, CAST(count(*) AS DOUBLE) AS value FROM r30 UNION ALL SELECT 'n_singletons', CAST((SELECT count(*) FROM r0) - (SELECT count(*) FROM r30) AS DOUBLE)")
+def singletons_cascade(spark, sf_dir):
+    df = lineitem(spark, sf_dir).selectExpr("*", "l_partkey * 8 + l_linenumber as cell")
+    m = reg(df, "l_extendedprice ~ l_quantity + fe(l_orderkey) + fe(cell)")
+    return spark.createDataFrame([("nobs", float(m.nobs)), ("n_singletons", float(m.n_singletons))], "fact string, value double")
+
+
+@query(f"WITH t AS (SELECT regr_slope(o_totalprice, o_custkey) AS b, regr_intercept(o_totalprice, o_custkey) AS a FROM orders) SELECT o_orderkey, round(o_totalprice - a - b * o_custkey, {ROUND}) + 0.0 AS residual FROM orders, t")
+def residuals_of_table(spark, sf_dir):
+    df = orders(spark, sf_dir)
+    return reg(df, "o_totalprice ~ o_custkey").residuals(df).select("o_orderkey", (F.round("residual", ROUND) + 0.0).alias("residual"))
+
+
+@query(f"SELECT o_orderkey, round(avg(o_totalprice) OVER (), {ROUND}) + 0.0 AS prediction FROM orders")
+def predict_constant(spark, sf_dir):
+    df = orders(spark, sf_dir)
+    return reg(df, "o_totalprice ~ 1").predict(df).select("o_orderkey", (F.round("prediction", ROUND) + 0.0).alias("prediction"))
+
+
+@query(f"WITH {IV} SELECT l_orderkey, l_linenumber, round(my - b*mx + b*l_quantity, {ROUND}) + 0.0 AS prediction FROM lineitem, fit")
+def predict_iv(spark, sf_dir):
+    df = lineitem(spark, sf_dir).selectExpr("*", "l_quantity + 10 * l_tax + l_linenumber as z")
+    return reg(df, "l_extendedprice ~ (l_quantity ~ z)").predict(df).select("l_orderkey", "l_linenumber", (F.round("prediction", ROUND) + 0.0).alias("prediction"))
+
+
+TURNED = "WITH RECURSIVE it AS (SELECT 0 AS k, o_orderkey, o_orderpriority AS g, o_orderstatus AS h, o_totalprice AS y FROM orders UNION ALL SELECT k + 1, o_orderkey, g, h, y - avg(y) OVER (PARTITION BY h) FROM (SELECT k, o_orderkey, g, h, y - avg(y) OVER (PARTITION BY g) AS y FROM it WHERE k < 40))"
+
+
+@query(TURNED + f" SELECT o_orderkey, round(o_totalprice - y, {ROUND}) + 0.0 AS prediction FROM it JOIN orders USING (o_orderkey) WHERE k = 40")
+def predict_two_effects(spark, sf_dir):
+    df = orders(spark, sf_dir)
+    return reg(df, "o_totalprice ~ fe(o_orderpriority) + fe(o_orderstatus)", save="fe").predict(df).select("o_orderkey", (F.round("prediction", ROUND) + 0.0).alias("prediction"))
+
+
+@query(f"WITH t AS (SELECT *, 1.0 + o_custkey % 3 AS w FROM orders) SELECT o_orderkey, round(o_totalprice - sum(w*o_totalprice) OVER p / sum(w) OVER p, {ROUND}) + 0.0 AS resid_o_totalprice, round(o_custkey - sum(w*o_custkey) OVER p / sum(w) OVER p, {ROUND}) + 0.0 AS resid_o_custkey FROM t WINDOW p AS (PARTITION BY o_orderpriority)")
+def partial_out_weighted(spark, sf_dir):
+    df = orders(spark, sf_dir).selectExpr("*", "1.0D + o_custkey % 3 as w")
+    out = partial_out(df, "o_totalprice + o_custkey ~ fe(o_orderpriority)", weights="w")
+    return out.df.select("o_orderkey", *((F.round(c, ROUND) + 0.0).alias(c) for c in ("resid_o_totalprice", "resid_o_custkey")))

@@ -90,7 +90,7 @@ def test_errors(spark):
         reg(df, "y ~ x", save="nothing")
     with pytest.raises(ValueError, match="empty"):
         reg(df, "y ~ x", subset="y > 100")
-    with pytest.raises(ValueError, match="Weights are not finite"):
+    with pytest.raises(ValueError, match="weights hold an infinite"):
         reg(df, "y ~ x", weights="w")
     with pytest.raises(ValueError, match="variant"):
         reg(df, "y ~ x").adjr2("other")
@@ -108,12 +108,12 @@ def test_errors(spark):
         reg(df, "y ~ x").predict(1)
     with pytest.raises(TypeError):
         reg(df, "y ~ x", subset=[True])
-    for bad, said in (("y", "dependent"), ("x", "exogenous"), ("z", "instrumental"), ("e", "endogenous")):
+    for bad, said in (("y", "response"), ("x", "the regressors"), ("z", "instruments"), ("e", "endogenous")):
         base = [[1.0, 2.0, 3.0, 4.0], [2.0, 1.0, 5.0, 3.0], [4.0, 4.0, 1.0, 1.0]]
         base[1]["yxze".index(bad)] = float("inf") if bad != "x" else float("nan")
         with pytest.raises(ValueError, match=said):
             reg(frame(spark, "y double, x double, z double, e double", [tuple(r) for r in base]), "y ~ x + (e ~ z)")
-    with pytest.raises(ValueError, match="dependent"):
+    with pytest.raises(ValueError, match="response"):
         reg(frame(spark, "y double, x double", [(0.0, 1.0), (1.0, 2.0), (2.0, 4.0)]), "log(y) ~ x")
     with pytest.raises(TypeError, match="cannot use"):
         reg(frame(spark, "y double, x array<int>", [(1.0, [1])]), "y ~ x")

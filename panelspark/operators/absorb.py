@@ -6,7 +6,8 @@ needed are sums of w*s*s' and w*s*c by cell, a cell being a combination of all g
 - one set of keys: each group is solved on its own, in closed form, by column expressions over the table of groups;
 - several sets of keys, cells up to CELLS: the cells come to the driver, where conjugate gradients, preconditioned by
   the exact solution of each group's block, solve for all columns side by side;
-- more cells: the same iteration over tables of groups, one join and one aggregate of the cells for each effect.
+- more cells, or wider ones: the same iteration with the same preconditioner over tables of groups, one join and one
+  aggregate of the cells for each effect.
 
 The solution is one table of groups and coefficients for each set of keys.
 """
@@ -27,6 +28,8 @@ from .sample import prune
 
 #: So many cells, by an estimate within a few hundredths, come to the driver at most (a few numbers each).
 CELLS = 3_000_000
+#: So many numbers of all cells together: wide models bring fewer cells (half of Spark's default limit on results).
+NUMBERS = 60_000_000
 #: So many groups of a single set of keys come to the driver at most.
 GROUPS = 200_000
 #: So many groups are broadcast at most when their coefficients meet the rows.
@@ -254,7 +257,7 @@ def _many_keys(rows, columns, weight, effects, keys, tol, maxiter, drop, rule, f
     # the pass that sums products also estimates the number of cells
     total, got = cross(rows, [F.col(c) for c in columns], weight, [F.count("*"), F.approx_count_distinct(F.xxhash64(*every)), *flags])
     got, size = (got[0], *got[2:]), got[1]
-    if size <= CELLS:
+    if size <= CELLS and size * (len(sums) + len(every) + 1) <= NUMBERS:
         return _on_driver(rows.sparkSession, cells.toArrow(), columns, keys, effects, names, total, got, tol, maxiter, drop, rule)
     return _by_tables(rows, columns, weight, checkpoint(cells), keys, effects, names, total, got, tol, maxiter, drop, rule)
 
@@ -395,54 +398,91 @@ def _by_tables(rows, columns, weight, cells, keys, effects, names, total, got, t
         cells = _prune_tables(cells, keys, rule)
     own = {k: [a for a in range(e) if tuple(sorted(effects[a][0])) == k] for k in keys}
     m = lambda a, b: F.col(names.m(a, b))
+    # absorbed levels explain the constant in full; it needs no solution
+    level = next((a for a, x in enumerate(names.multipliers) if x == "1"), None)
+    solved = range(p if level is None else p - 1)
     state = {}
     for k in keys:
-        sums = [F.sum(m(a, a)).alias(f"d{a}") for a in own[k]] + [F.sum(names.b(a, c)).alias(f"r{a}_{c}") for a in own[k] for c in range(p)]
-        state[k] = checkpoint(cells.groupBy(*k).agg(*sums))
+        sums = [F.sum(m(a, b)).alias(f"m{a}_{b}") for a in own[k] for b in own[k] if b <= a] + [F.sum(names.b(a, c)).alias(f"r{a}_{c}") for a in own[k] for c in solved]
+        state[k] = checkpoint(_factors(cells.groupBy(*k).agg(*sums), own[k]).drop(*(f"m{a}_{b}" for a in own[k] for b in own[k] if b <= a)))
     sizes = {k: t.count() for k, t in state.items()}
-    scaled = lambda x, a: F.when(F.col(f"d{a}") > 0, x / F.col(f"d{a}")).otherwise(0.0)
+    parts = lambda k: [*(f"d{a}" for a in own[k]), *(f"l{a}_{b}" for a in own[k] for b in own[k] if b < a)]
     for k in keys:
-        state[k] = state[k].select("*", *(x for a in own[k] for c in range(p) for x in (F.lit(0.0).alias(f"x{a}_{c}"), scaled(F.col(f"r{a}_{c}"), a).alias(f"p{a}_{c}"), F.col(f"r{a}_{c}").alias(f"b{a}_{c}"))))
+        solution = lambda c, k=k: _solved({a: F.col(f"r{a}_{c}") for a in own[k]})
+        state[k] = state[k].select("*", *(x for c in solved for a, z in solution(c).items() for x in (F.lit(0.0).alias(f"x{a}_{c}"), z.alias(f"p{a}_{c}"), F.col(f"r{a}_{c}").alias(f"b{a}_{c}"))))
 
     def summed(expr) -> np.ndarray:
-        total_ = np.zeros(p)
-        for k in keys:
-            total_ += np.array(state[k].agg(*(F.coalesce(F.sum(sum((expr(a, c) for a in own[k]), F.lit(0.0))), F.lit(0.0)) for c in range(p))).first(), float)
+        total_ = np.zeros(len(solved))
+        for k in keys if len(solved) else []:
+            total_ += np.array(state[k].agg(*(F.coalesce(F.sum(expr(k, c)), F.lit(0.0)) for c in solved)).first(), float)
         return total_
 
-    rz = summed(lambda a, c: F.col(f"r{a}_{c}") * scaled(F.col(f"r{a}_{c}"), a))
-    goal, iterations, open_ = rz * (min(tol, 1e-6) * 1e-4) ** 2, np.zeros(p, int), rz > 0
+    def energy(k, c):
+        r = {a: F.col(f"r{a}_{c}") for a in own[k]}
+        return sum((r[a] * z for a, z in _solved(r).items()), F.lit(0.0))
+
+    rz = summed(energy)
+    goal, iterations, open_ = rz * (min(tol, 1e-6) * 1e-4) ** 2, np.zeros(len(solved), int), rz > 0
     while open_.any() and iterations.max(initial=0) < maxiter:
         joined = cells
         for k in keys:
-            joined = _inner(joined, state[k].select(*k, *(f"p{a}_{c}" for a in own[k] for c in range(p))), list(k), sizes[k])
+            joined = _inner(joined, state[k].select(*k, *(f"p{a}_{c}" for a in own[k] for c in solved)), list(k), sizes[k])
         for k in keys:
-            q = joined.groupBy(*k).agg(*(F.sum(sum((m(a, b) * F.col(f"p{b}_{c}") for b in range(e)), F.lit(0.0))).alias(f"q{a}_{c}") for a in own[k] for c in range(p)))
+            q = joined.groupBy(*k).agg(*(F.sum(sum((m(a, b) * F.col(f"p{b}_{c}") for b in range(e)), F.lit(0.0))).alias(f"q{a}_{c}") for a in own[k] for c in solved))
             state[k] = checkpoint(state[k].join(q, list(k)))
-        dq = summed(lambda a, c: F.col(f"p{a}_{c}") * F.col(f"q{a}_{c}"))
+        dq = summed(lambda k, c: sum((F.col(f"p{a}_{c}") * F.col(f"q{a}_{c}") for a in own[k]), F.lit(0.0)))
         step = np.where(open_ & (dq > 0), rz / np.where(dq > 0, dq, 1), 0.0)
-        keep = lambda k: [*k, *(f"d{a}" for a in own[k]), *(f"b{a}_{c}" for a in own[k] for c in range(p))]
+        keep = lambda k: [*k, *parts(k), *(f"b{a}_{c}" for a in own[k] for c in solved)]
         for k in keys:
-            state[k] = state[k].select(*keep(k), *(y for a in own[k] for c in range(p) for y in ((F.col(f"x{a}_{c}") + float(step[c]) * F.col(f"p{a}_{c}")).alias(f"x{a}_{c}"), (F.col(f"r{a}_{c}") - float(step[c]) * F.col(f"q{a}_{c}")).alias(f"r{a}_{c}"), f"p{a}_{c}")))
-        new = summed(lambda a, c: F.col(f"r{a}_{c}") * scaled(F.col(f"r{a}_{c}"), a))
+            state[k] = state[k].select(*keep(k), *(y for a in own[k] for c in solved for y in ((F.col(f"x{a}_{c}") + float(step[c]) * F.col(f"p{a}_{c}")).alias(f"x{a}_{c}"), (F.col(f"r{a}_{c}") - float(step[c]) * F.col(f"q{a}_{c}")).alias(f"r{a}_{c}"), f"p{a}_{c}")))
+        new = summed(energy)
         iterations += open_
         open_ = open_ & (new > goal) & (dq > 0)
         ratio = np.where(rz > 0, new / np.where(rz > 0, rz, 1), 0.0)
         for k in keys:
-            state[k] = state[k].select(*keep(k), *(y for a in own[k] for c in range(p) for y in (f"x{a}_{c}", f"r{a}_{c}", (scaled(F.col(f"r{a}_{c}"), a) + float(ratio[c]) * F.col(f"p{a}_{c}")).alias(f"p{a}_{c}"))))
+            solution = lambda c, k=k: _solved({a: F.col(f"r{a}_{c}") for a in own[k]})
+            state[k] = state[k].select(*keep(k), *(y for c in solved for a, z in solution(c).items() for y in (f"x{a}_{c}", f"r{a}_{c}", (z + float(ratio[c]) * F.col(f"p{a}_{c}")).alias(f"p{a}_{c}"))))
         rz = new
-    explained = np.zeros((p, p))
-    for k in keys:
-        got_k = state[k].agg(*(F.sum(sum((F.col(f"x{a}_{i}") * F.col(f"b{a}_{j}") for a in own[k]), F.lit(0.0))) for i in range(p) for j in range(p))).first()
-        explained += np.array(got_k, float).reshape(p, p)
-    levels = [Level(list(k), own[k], checkpoint(state[k].select(*k, *(F.col(f"x{a}_{c}").alias(f"t{a}_{c}") for a in own[k] for c in range(p)))), sizes[k]) for k in keys]
+    explained, n_solved = np.zeros((len(solved), len(solved))), len(solved)
+    for k in keys if n_solved else []:
+        got_k = state[k].agg(*(F.sum(sum((F.col(f"x{a}_{i}") * F.col(f"b{a}_{j}") for a in own[k]), F.lit(0.0))) for i in solved for j in solved)).first()
+        explained += np.array(got_k, float).reshape(n_solved, n_solved)
+    rest = lambda a: [] if level is None else [F.lit(float(a == level)).alias(f"t{a}_{p - 1}")]
+    levels = [Level(list(k), own[k], checkpoint(state[k].select(*k, *(x for a in own[k] for x in (*(F.col(f"x{a}_{c}").alias(f"t{a}_{c}") for c in solved), *rest(a))))), sizes[k]) for k in keys]
     n, wsum = cells.agg(F.sum("n"), F.sum(names.total)).first()
     if n != before:
         lost = rows
-        for level in levels:
-            lost = _inner(lost, level.table.select(*level.keys), level.keys, level.groups, "left_semi")
+        for lv in levels:
+            lost = _inner(lost, lv.table.select(*lv.keys), lv.keys, lv.groups, "left_semi")
         total = cross(lost, [F.col(c) for c in columns], weight)[0]
-    return Projection(levels, total - (explained + explained.T) / 2, int(n or 0), float(wsum or 0), np.maximum(iterations, 1).tolist(), not open_.any(), [sizes[tuple(sorted(k))] for k, _ in effects], int(before - (n or 0)), tuple(got[1:]), total)
+    within = np.zeros((p, p))
+    within[:n_solved, :n_solved] = total[:n_solved, :n_solved] - (explained + explained.T) / 2
+    counts = [*np.maximum(iterations, 1).tolist(), *([] if level is None else [1])]
+    return Projection(levels, within, int(n or 0), float(wsum or 0), counts, not open_.any(), [sizes[tuple(sorted(k))] for k, _ in effects], int(before - (n or 0)), tuple(got[1:]), total)
+
+
+def _factors(table: DataFrame, own: list[int]) -> DataFrame:
+    """Each group's block m{a}_{b} (a >= b) as columns d{a} and l{a}_{b} of its factors L D L'; a direction that a group
+    does not have gets d = 0."""
+    for at, j in enumerate(own):
+        done = own[:at]
+        d = F.col(f"m{j}_{j}") - sum((F.col(f"l{j}_{k}") * F.col(f"l{j}_{k}") * F.col(f"d{k}") for k in done), F.lit(0.0))
+        table = table.withColumn(f"d{j}", F.when(d > F.col(f"m{j}_{j}") * 1e-11, d).otherwise(0.0))
+        for i in own[at + 1 :]:
+            over = F.col(f"m{i}_{j}") - sum((F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}") * F.col(f"d{k}") for k in done), F.lit(0.0))
+            table = table.withColumn(f"l{i}_{j}", F.when(F.col(f"d{j}") > 0, over / F.col(f"d{j}")).otherwise(0.0))
+    return table
+
+
+def _solved(r: dict[int, Column]) -> dict[int, Column]:
+    """The exact solution of a group's block for a right side, by its factors."""
+    own, y, z = list(r), {}, {}
+    for at, j in enumerate(own):
+        y[j] = r[j] - sum((F.col(f"l{j}_{k}") * y[k] for k in own[:at]), F.lit(0.0))
+    for at in reversed(range(len(own))):
+        j = own[at]
+        z[j] = F.when(F.col(f"d{j}") > 0, y[j] / F.col(f"d{j}") - sum((F.col(f"l{i}_{j}") * z[i] for i in own[at + 1 :]), F.lit(0.0))).otherwise(0.0)
+    return {j: z[j] for j in own}
 
 
 def _prune_tables(cells: DataFrame, keys, rule: str) -> DataFrame:

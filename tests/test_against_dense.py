@@ -289,3 +289,19 @@ def test_collinear_columns(data):
     _, df = data
     m = reg(df.selectExpr("*", "2 * x as x2"), "y ~ x + x2 + e")
     assert m.coef[2] == 0 and np.isnan(m.stderror[2]) and np.allclose(m.coef[[0, 1, 3]], reg(df, "y ~ x + e").coef)
+
+
+@pytest.mark.parametrize("weights", [None, "w"])
+def test_tables_iterate_like_the_driver(spark, monkeypatch, weights):
+    """Level and slope of one key beside a second key: the same preconditioner, so about as many iterations."""
+    from panelspark.operators import absorb
+
+    rng = np.random.default_rng(12)
+    n = 400
+    rows = [(float(a), float(b), float(3 + c), int(i % 11), int(rng.integers(7)), float(d)) for i, (a, b, c, d) in enumerate(zip(rng.normal(size=n), rng.normal(size=n), rng.normal(size=n), rng.uniform(0.5, 2, n), strict=True))]
+    df = spark.createDataFrame(rows, "y double, x double, z double, g int, h int, w double")
+    there = reg(df, "y ~ x + fe(g)*z + fe(h)", weights=weights)
+    monkeypatch.setattr(absorb, "CELLS", 0)
+    here = reg(df, "y ~ x + fe(g)*z + fe(h)", weights=weights)
+    assert abs(here.iterations - there.iterations) <= 2 and here.converged and here.iterations <= 50
+    assert np.allclose(here.coef, there.coef, rtol=1e-7) and np.allclose(here.stderror, there.stderror, rtol=1e-6, equal_nan=True)

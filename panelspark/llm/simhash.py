@@ -202,7 +202,7 @@ SKETCH = 4
 CROWD, HELD = 4096, 4 << 20
 #: Bytes of sets that a task of pairs holds of each side, and pairs that it decides, on average; so many classes are
 #: broadcast at most to find their texts.
-BUCKET, TILE, FEW = 16 << 20, 25_000, 200_000
+BUCKET, TILE, FEW = 16 << 20, 4_000, 200_000
 #: Shingles that are hashed into a fingerprint at once.
 STEP = 512
 

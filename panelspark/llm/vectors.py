@@ -4,8 +4,9 @@ Vectors are scaled to length 1, where a cosine of at least t is a distance of at
 are sorted by label and by the cells, epsilon wide, of their leading principal dimensions, and the sorted sequence is
 cut into blocks. Pairs of sequence intervals are joined recursively from the whole sequence downwards: a pair whose
 boxes are further apart than epsilon, or that has no label in common, is skipped with all its parts. The interval
-pairs of the upper levels are small tables that are joined by their parents; pairs of blocks that are left go to
-tasks of their own, which go on in the same way on the vectors and compare what remains in double precision.
+pairs of the upper levels are small tables that are joined by their parents; pairs of blocks that are left are dealt
+by tiles of neighbouring blocks, where each block comes once, and tiles go on in the same way on the vectors and
+compare what remains in double precision.
 
 Equal vectors of a label form one class first. A pair of blocks gives for each class the number of vectors it
 finds linked, and a spanning forest of the links, never all pairs.
@@ -29,41 +30,71 @@ from .components import connected_components
 
 #: Principal dimensions of the grid, vectors of a block, of a directly compared interval, and children of an interval.
 DIMS, BLOCK, LEAF, FAN = 6, 512, 64, 16
+#: Components that a block, or a batch at work, holds at most (one vector where that is longer).
+NUMBERS = 512 * 1024
+#: Further directions of the subspace iteration, and its passes.
+SPARE, PASSES = 4, 2
 
 
 def usable(vector: Column) -> Column:
     return vector.isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vector, lambda x: x != 0)
 
 
-def _units(vectors: list, width: int) -> np.ndarray:
-    """Vectors as rows of length 1 in double precision, padded to a width."""
-    out = np.zeros((len(vectors), width))
-    for i, v in enumerate(vectors):
-        out[i, : len(v)] = v
+def _units(vectors: list) -> np.ndarray:
+    """Vectors of one length as rows of length 1 in double precision."""
+    out = np.array(vectors, np.float64)
     out /= np.abs(out).max(axis=1, keepdims=True)
     return out / np.sqrt((out * out).sum(axis=1, keepdims=True))
 
 
+def _by_length(column: pa.Array, numbers: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, unit vectors) of a batch, vectors of one length together, about ``numbers`` components at once."""
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+    for size in np.unique(sizes):
+        places, step = np.flatnonzero(sizes == size), max(1, numbers // int(size))
+        for at in range(0, len(places), step):
+            part = places[at : at + step]
+            yield part, _units(column.take(pa.array(part)).to_pylist())
+
+
 def principal(classes: DataFrame, width: int, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and leading principal axes of the unit vectors. Each task sums products; only width^2 sums reach the driver."""
+    """Mean and leading principal axes of the unit vectors, shorter ones filled up with zeros, by subspace iteration.
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((width + 1, width + 1))
-        for batch in batches:
-            x = np.hstack([_units(batch.column(0).to_pylist(), width), np.ones((batch.num_rows, 1))])
-            total += x.T @ x
-        i, j = np.triu_indices(width + 1)
-        yield pa.RecordBatch.from_arrays([pa.array(i * (width + 1) + j, pa.int64()), pa.array(total[i, j])], names=["k", "v"])
-
-    got = classes.select("vector").mapInArrow(sums, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).toArrow()
-    g = np.zeros((width + 1) ** 2)
-    g[got.column("k").to_numpy()] = got.column("v").to_numpy()
-    g = g.reshape(width + 1, width + 1)
-    g = g + np.triu(g, 1).T
-    n = max(g[-1, -1], 1.0)
-    mean = g[-1, :-1] / n
-    values, axes = np.linalg.eigh(g[:-1, :-1] / n - np.outer(mean, mean))
-    return mean, axes[:, np.argsort(-values, kind="stable")[:dims]]
+    A pass over all vectors multiplies their covariance with a few directions: tasks and driver hold ``width`` times
+    ``dims`` + SPARE numbers, never ``width`` squared, and a vector only its own length. The axes are orthonormal
+    whatever the number of passes, so distances on them never exceed distances of vectors, which is all that the
+    skips rely on.
+    """
+    k = min(width, dims + SPARE)
+    axes = np.linalg.qr(np.random.default_rng(0).standard_normal((width, k)))[0]
+
+    def times(axes: np.ndarray):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((width, k + 1))
+            count = 0
+            for batch in batches:
+                for part, x in _by_length(batch.column(0), NUMBERS):
+                    size = x.shape[1]
+                    total[:size, :k] += x.T @ (x @ axes[:size])
+                    total[:size, k] += x.sum(axis=0)
+                    count += len(part)
+            if count:
+                yield pa.RecordBatch.from_arrays([pa.array(range(width + 1), pa.int64()), pa.array([*total.tolist(), [float(count)] * (k + 1)], pa.list_(pa.float64()))], names=["at", "v"])
+
+        sums = classes.select("vector").mapInArrow(run, "at long, v array<double>").groupBy("at").agg(*(F.sum(F.get("v", F.lit(i))).alias(f"v{i}") for i in range(k + 1))).orderBy("at").toArrow()
+        out = np.column_stack([sums.column(f"v{i}").to_numpy() for i in range(k + 1)])
+        n = out[-1, 0]
+        mean = out[:-1, k] / n
+        return mean, out[:-1, :k] / n - np.outer(mean, mean @ axes)
+
+    for _ in range(PASSES - 1):
+        mean, product = times(axes)
+        # vectors that are all alike leave no direction; qr fills up with orthonormal ones
+        axes = np.linalg.qr(product)[0]
+    mean, product = times(axes)
+    within = axes.T @ product
+    values, turn = np.linalg.eigh((within + within.T) / 2)
+    return mean, axes @ turn[:, np.argsort(-values, kind="stable")[:dims]]
 
 
 def _blocks(size: int):
@@ -100,7 +131,7 @@ def _blocks(size: int):
                 schema = pa.schema([("task", pa.int64()), ("number", pa.int64()), ("label", label), ("size", pa.int64()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64())), ("reps", pa.binary()), ("counts", pa.binary()), ("grids", pa.binary()), ("vectors", pa.binary())])
             for at in range(0, batch.num_rows, size):
                 for r in batch.slice(at, size).to_pylist():
-                    if held and (len(held) == size or held[0]["label"] != r["label"] or len(held[0]["vector"]) != len(r["vector"])):
+                    if held and (len(held) == min(size, max(1, NUMBERS // len(r["vector"]))) or held[0]["label"] != r["label"] or len(held[0]["vector"]) != len(r["vector"])):
                         yield block()
                     held.append(r)
         if held:
@@ -165,20 +196,22 @@ def _forest(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(a), np.concatenate(b)
 
 
-def _join_blocks(epsilon: float, threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple[np.ndarray, ...]] = []
-            for k in range(batch.num_rows):
-                r = {n: batch.column(n)[k].as_py() for n in batch.schema.names}
-
-                def load(side: str, r=r) -> tuple[np.ndarray, ...]:
-                    v = np.frombuffer(r[f"{side}_vectors"], np.float64).reshape(-1, r["size"])
-                    return np.frombuffer(r[f"{side}_grids"], np.float64).reshape(-1, DIMS), _units(list(v), r["size"]), np.frombuffer(r[f"{side}_reps"], np.int64), np.frombuffer(r[f"{side}_counts"], np.int64)
-
-                same = r["a"] == r["b"]
-                p, x, rep_a, n_a = load("a")
-                q, y, rep_b, n_b = (p, x, rep_a, n_a) if same else load("b")
+def _join_tile(epsilon: float, threshold: float):
+    """Joins the pairs of blocks of one tile; each block comes once, with the blocks that it is compared with."""
+
+    def run(table: pa.Table) -> pa.Table:
+        blocks = {}
+        for r in table.select(["place", "size", "reps", "counts", "grids", "vectors"]).to_pylist():
+            v = np.frombuffer(r["vectors"], np.float64).reshape(-1, r["size"])
+            blocks[r["place"]] = np.frombuffer(r["grids"], np.float64).reshape(-1, DIMS), _units(v), np.frombuffer(r["reps"], np.int64), np.frombuffer(r["counts"], np.int64)
+        out: list[tuple[np.ndarray, ...]] = []
+        for a, others in zip(table.column("place").to_pylist(), table.column("others").to_pylist(), strict=True):
+            p, x, rep_a, n_a = blocks[a]
+            for b in sorted(others):
+                same = a == b
+                q, y, rep_b, n_b = blocks[b]
+                if x.shape[1] != y.shape[1]:
+                    continue
                 i, j = ego_join(p, q, x, y, epsilon, threshold, same)
                 if not len(i):
                     continue
@@ -186,11 +219,10 @@ def _join_blocks(epsilon: float, threshold: float):
                 j = j + at
                 links = np.bincount(i, n_b[j - at], len(reps)) + np.bincount(j, n_a[i], len(reps))
                 some = np.flatnonzero(links)
-                a, b = _forest(i, j, len(reps))
-                out.append((np.concatenate([reps[some], reps[a]]), np.concatenate([np.full(len(some), -1), reps[b]]), np.concatenate([links[some].astype(np.int64), np.zeros(len(a), np.int64)])))
-            cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 3
-            linked = pa.array(cols[2] == 0)
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2]), linked], names=["a", "b", "links", "is_link"])
+                i, j = _forest(i, j, len(reps))
+                out.append((np.concatenate([reps[some], reps[i]]), np.concatenate([np.full(len(some), -1), reps[j]]), np.concatenate([links[some].astype(np.int64), np.zeros(len(i), np.int64)])))
+        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 3
+        return pa.table({"a": cols[0], "b": cols[1], "links": cols[2], "is_link": cols[2] == 0})
 
     return run
 
@@ -228,11 +260,13 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, block: int = BLOCK
     epsilon = float(np.sqrt(max(2 - 2 * threshold, 0.0)))
     mean, axes = principal(classes, width, DIMS)
 
+    centre = mean @ axes
+
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             grid = np.zeros((batch.num_rows, DIMS))
-            x = (_units(batch.column(1).to_pylist(), width) - mean) @ axes
-            grid[:, : x.shape[1]] = x
+            for part, x in _by_length(batch.column(1), NUMBERS):
+                grid[part, : axes.shape[1]] = x @ axes[: x.shape[1]] - centre
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(grid.tolist(), pa.list_(pa.float64()))], names=[*batch.schema.names, "grid"])
 
     placed = classes.mapInArrow(project, f"label {classes.schema['label'].dataType.simpleString()}, vector {classes.schema['vector'].dataType.simpleString()}, rep long, n long, grid array<double>")
@@ -252,11 +286,13 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, block: int = BLOCK
     first = vectors.sparkSession.createDataFrame(starts, "first_task long, start long")
     blocks = made.join(F.broadcast(first), F.col("task") == F.col("first_task")).withColumn("place", F.col("start") + F.col("number") - 1).drop("first_task", "start", "task", "number")
     pairs = checkpoint(block_pairs(blocks, n, epsilon))
-    width_pairs = tasks(vectors.sparkSession, pairs.count(), 400, 4)
-    side = lambda s: blocks.select(F.col("place").alias(f"{s}_at"), *(F.col(c).alias(f"{s}_{c}") for c in ("label", "reps", "counts", "grids", "vectors")), F.col("size").alias(f"{s}_size"))
-    tiles = pairs.repartition(width_pairs, "a", "b").join(side("a"), F.col("a") == F.col("a_at")).join(side("b"), F.col("b") == F.col("b_at")).where((F.col("a_label") == F.col("b_label")) & (F.col("a_size") == F.col("b_size")))
-    sent = tiles.select("a", "b", F.col("a_size").alias("size"), *(f"{s}_{c}" for s in "ab" for c in ("reps", "counts", "grids", "vectors")))
-    found = checkpoint(sent.mapInArrow(_join_blocks(epsilon, threshold), "a long, b long, links long, is_link boolean"))
+    # pairs of blocks are joined by tiles of FAN x FAN, so that a block travels once a tile
+    tile = [F.floor(F.col(c) / FAN).alias(f"tile_{c}") for c in "ab"]
+    met = pairs.select(*tile, "a", "b")
+    sides = met.select("tile_a", "tile_b", F.col("a").alias("place"), "b").unionByName(met.select("tile_a", "tile_b", F.col("b").alias("place"), F.lit(None).cast("long").alias("b")))
+    members = sides.groupBy("tile_a", "tile_b", "place").agg(F.collect_list("b").alias("others")).withColumnRenamed("place", "at")
+    sent = members.join(blocks.select("place", "size", "reps", "counts", "grids", "vectors"), F.col("at") == F.col("place")).drop("at")
+    found = checkpoint(sent.groupBy("tile_a", "tile_b").applyInArrow(_join_tile(epsilon, threshold), "a long, b long, links long, is_link boolean"))
     parts = connected_components(found.where("is_link").select("a", "b"))
     links = found.where("not is_link").groupBy(F.col("a").alias("link_rep")).agg(F.sum("links").alias("links"))
     named = classes.join(links, F.col("rep") == F.col("link_rep"), "left").join(parts, F.col("rep") == F.col("node"), "left").select(F.col("label").alias("c_label"), F.col("vector").alias("c_vector"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))

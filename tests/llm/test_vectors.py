@@ -84,3 +84,26 @@ def test_the_join_skips_and_loses_nothing():
         a, b = np.nonzero(x @ y.T >= 0.98)
         keep = a < b if same else slice(None)
         assert sorted(zip(i.tolist(), j.tolist())) == sorted(zip(a[keep].tolist(), b[keep].tolist()))
+
+
+def test_one_long_vector_among_short_ones(spark):
+    """Axes and blocks hold a few numbers for each dimension, never their square."""
+    rng = np.random.default_rng(11)
+    long = [float(np.float32(x)) for x in rng.normal(size=50_000)]
+    rows = corpus(3, 60, 4) + [[1000, long, 1, "", ""], [1001, [2 * x for x in long], 1, "", ""], [1002, [-x for x in long], 1, "", ""]]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_vectors(spark.createDataFrame([tuple(r) for r in rows], SCHEMA)).collect()}
+    assert got[1000] == (1, 1000) and got[1001] == (1, 1000) and got[1002] == (0, 1002)
+    short = [r for r in rows if r[0] < 1000]
+    assert sorted((i, *v) for i, v in got.items() if i < 1000) == sorted((i, n, c) for i, n, c, _ in brute(short))
+
+
+def test_axes_are_the_leading_ones(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(500, 20)) * np.array([9, 7, 5, 4, 3, 2.5] + [0.3] * 14)
+    df = spark.createDataFrame([(v.tolist(),) for v in x], "vector array<double>")
+    mean, axes = vectors.principal(df, 20, 6)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert np.allclose(mean, u.mean(axis=0)) and np.allclose(axes.T @ axes, np.eye(6))
+    values, vectors_ = np.linalg.eigh(np.cov(u.T, bias=True))
+    caught = np.trace(axes.T @ np.cov(u.T, bias=True) @ axes)
+    assert caught > 0.99 * values[-6:].sum()

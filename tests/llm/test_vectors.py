@@ -107,3 +107,18 @@ def test_axes_are_the_leading_ones(spark):
     values, vectors_ = np.linalg.eigh(np.cov(u.T, bias=True))
     caught = np.trace(axes.T @ np.cov(u.T, bias=True) @ axes)
     assert caught > 0.99 * values[-6:].sum()
+
+
+def test_the_registered_sql(spark, tmp_path):
+    """The SQL that the query is compared with, on rows that do link."""
+    import duckdb
+
+    from panelspark.llm.queries import ORACLES, QUERIES
+
+    rows = corpus(2, 200) + [[900, None, 1, "", ""], [901, [0.0] * 8, 1, "", ""], [902, [float("nan")] + [1.0] * 7, 1, "", ""], [903, [1.0] * 8, None, "", ""], [904, [1.0] * 7, 1, "", ""]]
+    spark.createDataFrame([tuple(r[:3]) for r in rows], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = sorted(con.execute(ORACLES["op4_vectors"]).fetchall())
+    assert sum(r[1] for r in want) > 100
+    assert sorted(tuple(r) for r in QUERIES["op4_vectors"](spark, str(tmp_path)).select("vec_id", "n_links", "component_id", "kept").collect()) == want

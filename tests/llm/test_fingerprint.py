@@ -58,3 +58,37 @@ def test_odd_tables(spark):
     assert len(one) == 1 and one[0].edited_sha256 == hashlib.sha256(b"abab").hexdigest() and one[0].near_next == 1
     same = fp.fingerprints(spark.createDataFrame([(7, "abcd", "", "", "")] * 3 + [(None, "xyz", "", "", ""), (9, "q" * 90_000 + " w", "", "", "")], SCHEMA)).collect()
     assert len(same) == 5
+
+
+def plain_fingerprint(text):
+    """The fingerprint by the docstring, in plain Python."""
+    import struct
+
+    import xxhash
+
+    seeded = lambda numbers: __import__("functools").reduce(lambda seed, h: xxhash.xxh64_intdigest(struct.pack("<Q", h), seed), numbers, 42)
+    words = [xxhash.xxh64_intdigest(w.encode(), 42) for w in re.split(r"[\x20\x09-\x0D]+", (text or "").lower()) if w]
+    cut = [words[i : i + 5] for i in range(len(words) - 4)] or ([words] if words else [])
+    least = {}
+    for h in map(seeded, cut):
+        least[h >> 57] = min(h, least.get(h >> 57, h))
+    if not least:
+        return "00" * 128
+    bins = []
+    for b in range(128):
+        order = sorted((j for j in range(128) if j != b), key=lambda j: fp._mix(b, j))
+        bins.append(next(least[j] for j in [b, *order] if j in least))
+    return "".join(f"{v & 255:02x}" for v in bins)
+
+
+def test_every_digit_against_plain_python(spark):
+    rnd = random.Random(9)
+    texts = [" ".join(rnd.choice("ab cd ef Gh ïj kl Über".split()) + str(rnd.randrange(60)) for _ in range(n)) for n in (1, 2, 4, 5, 6, 7, 20, 90, 400, 3000, 20000)]
+    texts += [None, "", " \n\t", "one", "A a A a A a A a A a", "\x0b tab\x0cand\x0dfeeds  twice\x1f not blank", "語 " * 50]
+    rows = [(i, t, "n", "k", "f") for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in fp.fingerprints(spark.createDataFrame(rows, SCHEMA), 3).collect()}
+    for i, t in enumerate(texts):
+        t, after = t or "", texts[(i + 1) % len(texts)] or ""
+        half = len(t) // 2
+        assert got[i].fingerprint == plain_fingerprint(t), i
+        assert got[i].edited_fingerprint == plain_fingerprint(t[: len(t) - half] + after[:half]), i

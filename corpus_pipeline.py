@@ -75,13 +75,23 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("quality", keep_good), ("near_duplicates", keep_one_of_near_copies), ("personal_data", hide_personal_data), ("mixing", mix_sources), ("encoding", encode)]
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Removes a folder through the file system that holds it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the documents of a folder; each stage's rows are written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages on the documents of a folder; each stage's rows are written to the shared folder and read again.
+    The rows of a stage are removed when those of the next are written; the last ones stay, as the result reads them."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    home = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
-        path = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        stage(spark, docs, sf_dir).write.parquet(f"{home}/{name}")
+        docs = spark.read.parquet(f"{home}/{name}")
+        if before:
+            drop_folder(spark, before)
+        before = f"{home}/{name}"
     return docs
 
 

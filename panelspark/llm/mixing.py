@@ -27,6 +27,8 @@ from .common import checkpoint
 
 #: Rows of a block, on average.
 BLOCK = 1024
+#: Blocks that stand side by side in an epoch and are summed first, so that no task orders all blocks of a source.
+WIDE = 1024
 #: So many sources are broadcast at most; more are joined by a shuffle.
 SOURCES = 20_000
 #: The exponent's range is cut into so many parts, so many times over; one aggregate measures all inner ends.
@@ -116,6 +118,13 @@ def plan(sizes: DataFrame, entropy: float | None = 0.98, repeats: float | None =
     return sources.select("source", "tokens", "n", weight.alias("weight"), F.when(F.abs(epochs - near) < 1e-9, near).otherwise(epochs).alias("epochs"))
 
 
+def _reached(sums: DataFrame, place: str) -> DataFrame:
+    """Of each source the row at whose place the running sum of ``t`` reaches ``rest``, with ``left``: what it takes of it."""
+    order = Window.partitionBy("source").orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    at = sums.withColumn("before", F.coalesce(F.sum("t").over(order), F.lit(0)))
+    return at.where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("t") >= F.col("rest"))).withColumn("left", F.col("rest") - F.col("before"))
+
+
 def _limits(sizes: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
     """(source, n_blocks, epochs, cut, cut_row, cut_left, cut_n) of each source: the last epoch reads the blocks placed
     before ``cut`` and, of the block at ``cut``, the rows placed before ``cut_row`` and those of the ``cut_n`` rows at
@@ -123,11 +132,12 @@ def _limits(sizes: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
     s = sources.select("source", "tokens", "epochs", F.pow(F.lit(2.0), F.greatest(F.ceil(F.log2(F.col("n") / BLOCK)), F.lit(0))).cast("long").alias("n_blocks"))
     last = s.where(F.col("epochs") > F.floor("epochs")).select("source", "n_blocks", F.floor("epochs").cast("long").alias("epoch"), ((F.col("epochs") - F.floor("epochs")) * F.col("tokens")).alias("rest"))
     rows = _joined(sizes, last).select("source", "epoch", "rest", "n_blocks", F.pmod("row_hash", "n_blocks").alias("block"), "row_hash", "n_tokens").withColumn("place", _rank(F.col("block"), F.col("n_blocks"), F.lit(seed), F.col("source"), F.col("epoch")))
-    blocks = rows.groupBy("source", "epoch", "rest", "block", "place").agg(F.sum("n_tokens").alias("t"))
-    # blocks, not rows, are ordered within a source: a thousandth of its rows
-    order = Window.partitionBy("source").orderBy("place", "block").rowsBetween(Window.unboundedPreceding, -1)
-    at = blocks.withColumn("before", F.coalesce(F.sum("t").over(order), F.lit(0))).where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("t") >= F.col("rest")))
-    cut = at.select("source", "block", "place", (F.col("rest") - F.col("before")).alias("left"))
+    blocks = checkpoint(rows.groupBy("source", "rest", "block", "place").agg(F.sum("n_tokens").alias("t"))).withColumn("wide", F.floor(F.col("place") / WIDE))
+    # sums of neighbouring blocks are ordered within a source, then the blocks of the one where the epoch stops
+    wide = _reached(blocks.groupBy("source", "rest", "wide").agg(F.sum("t").alias("t")), "wide")
+    within = wide.select(F.col("source").alias("s1"), F.col("wide").alias("w1"), F.col("left").alias("rest"))
+    near = blocks.drop("rest").join(within, F.col("source").eqNullSafe(F.col("s1")) & (F.col("wide") == F.col("w1")))
+    cut = _reached(near, "place").select("source", "block", "place", "left")
     inner = rows.drop("rest").join(cut.select(F.col("source").alias("s2"), F.col("block").alias("b2"), "left"), F.col("source").eqNullSafe(F.col("s2")) & (F.col("block") == F.col("b2")))
     # rows of one key are one place
     places = inner.groupBy("source", "left", _unit(F.lit(seed), "epoch", "row_hash").alias("spot")).agg(F.sum("n_tokens").alias("t"), F.count("*").alias("here"))

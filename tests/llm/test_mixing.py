@@ -1,6 +1,8 @@
 import math
+import struct
 from collections import Counter, defaultdict
 
+import xxhash
 from pyspark.sql import functions as F
 
 from panelspark.llm import mixing
@@ -111,3 +113,48 @@ def test_repeated_rows_keep_the_budget(spark):
         for s, p in plan.items():
             want = p.epochs * p.tokens
             assert want - 1e-6 <= read[s] <= want + 100, (s, budget, read[s], want)
+
+
+def chained(*parts):
+    """XXH64 of longs, ints (as ("int", x)) and texts, each seeded by the one before, from 42 on; nulls are passed over."""
+    seed = 42
+    for x in parts:
+        if x is None:
+            continue
+        data = x.encode() if isinstance(x, str) else struct.pack("<i", x[1]) if isinstance(x, tuple) else struct.pack("<q", x)
+        seed = xxhash.xxh64_intdigest(data, seed)
+    return seed
+
+
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def test_rows_read_by_plain_python(spark, monkeypatch):
+    """Every row of every epoch, by sorting whole sources; blocks and runs of blocks are small, so all levels are met."""
+    monkeypatch.setattr(mixing, "BLOCK", 4)
+    monkeypatch.setattr(mixing, "WIDE", 8)
+    rows, seed = corpus(), ("int", 1)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    budget = 9000
+    plan = {r.source: r for r in mixing.plan(docs.select("source", mixing.n_tokens(F.col("text")).alias("n_tokens")), 0.95, 4.0, budget).collect()}
+    want = {}
+    for s, p in plan.items():
+        own = [(i, len(t.split()), signed(chained(i, seed))) for i, t, x, *_ in rows if x == s]
+        blocks = 2 ** max(0, math.ceil(math.log2(p.n / 4)))
+        half = max(1, math.ceil(math.log2(blocks) / 2))
+        for epoch in range(math.ceil(p.epochs)):
+            draw = [chained(("int", k), seed, s, epoch) & ((1 << 31) - 1) for k in range(1, 5)]
+            order = []
+            for i, t, h in own:
+                x = ((h % blocks) * (draw[0] | 1) + draw[1]) % blocks
+                place = ((x ^ (x >> half)) * (draw[2] | 1) + draw[3]) % blocks
+                order.append((place, (chained(seed, epoch, h) >> 11) / 2.0**53, i, t))
+            left = (p.epochs - epoch) * p.tokens
+            for place, spot, i, t in sorted(order):
+                if epoch + 1 <= p.epochs or left > 0:
+                    want[i, epoch] = min(1.0, (epoch + (place + spot) / blocks) / p.epochs)
+                left -= t
+    got = {(r.doc_id, r.mix_epoch): r.mix_key for r in mixing.mix(docs, 0.95, 4.0, budget).collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-12 for k in want)

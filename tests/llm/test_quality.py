@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -55,3 +56,17 @@ def test_scores_follow_preferences():
     x, y = np.array([quality.features(t) for _, t, _ in rows]), np.array([q for *_, q in rows])
     s = quality.Model(x, y).score(x)
     assert s[y == 1].min() > s[y == 0].max()
+
+
+def test_scores_by_plain_python(spark):
+    """Scores of a query from the fitted numbers, feature by feature without arrays; whatever partitions rows are in."""
+    rows = corpus(160) + [(900, None, None), (901, "", None), (902, "No end " * 30_000, None)]
+    docs, labels = frames(spark, rows)
+    model = quality.fit(docs, quality.training_rows(labels))
+    got = {r.doc_id: r.score for r in quality.scores(docs.repartition(5), model).collect()}
+    for i, text, _ in rows:
+        z = [min(6.0, max(-6.0, (x - c) / s)) for x, c, s in zip(quality.features(text), model.centre, model.scale, strict=True)]
+        hinges = [max(x - k, 0.0) for knots in model.knots for x, k in zip(z, knots, strict=True)]
+        s = (sum(x * w for x, w in zip([*z, *hinges], model.weights, strict=True)) - model.cut) / model.spread
+        odds = 2 * s + math.log(0.3 / 0.7)
+        assert abs(got[i] - 1 / (1 + math.exp(-min(500.0, max(-500.0, odds))))) < 1e-9

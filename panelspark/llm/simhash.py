@@ -10,7 +10,8 @@ a seventh of all bits differ, which no fingerprint of 64 bits can find by segmen
 the set, cut into segments whose width follows the number of rows and whose number follows from the share of pairs at
 the bound that may be missed: a pair is found if one of its segments differs in one bit at most. A segment's variants
 with one bit left out are joined within the group of rows that have one half of the segment in common, as one of the
-two halves must be equal. Candidates pass a comparison of 256 bits, and every link is decided on the whole sets.
+two halves must be equal. Candidates pass a comparison of 128 bits, and every link is decided on the whole sets, which
+travel once: to the place of the cluster that candidates join.
 
 Results in odd cases: null and wordless texts have fingerprint zero and are linked like any other; texts shorter
 than a shingle are one shingle of all their words; equal texts have equal fingerprints and need no comparison; a row
@@ -196,8 +197,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> Dat
 OVER, UNDER, WORDS = 4, 5, 5
 #: Of pairs of just that likeness, so many may have no segment that differs in one bit at most.
 MISSED = 0.005
-#: Longs of the part of a fingerprint that is compared before the sets are.
-SKETCH = 4
+#: Longs that a fingerprint has at least, and those that go with each half and are compared before the sets are.
+SKETCH, SENT = 4, 2
 #: Members of a half segment that one task compares at once, and the shingles that it holds for a crowd of them.
 CROWD, HELD = 4096, 4 << 20
 #: Bytes of sets that a task of pairs holds of each side, and pairs that it decides, on average; so many classes are
@@ -221,9 +222,9 @@ def cut(rows: int) -> tuple[int, int]:
     return half, max(math.ceil(math.log(MISSED) / math.log(1 - met)), -(-SKETCH * 64 // w))
 
 
-def reach() -> int:
-    """Bits of the sketch that pairs of the least likeness differ in at most, but for one in some thousands."""
-    p, n = differing(), 64 * SKETCH
+def reach(longs: int = SKETCH) -> int:
+    """Bits of so many longs that pairs of the least likeness differ in at most, but for one in some thousands."""
+    p, n = differing(), 64 * longs
     return math.ceil(n * p + 3.5 * math.sqrt(n * p * (1 - p)))
 
 
@@ -294,10 +295,10 @@ def _halves(half: int, number: int):
                 bits = np.unpackbits(raw, axis=1, bitorder="little")[:, : 2 * half * number].reshape(m, number, 2, half)
                 value = bits @ powers
                 key = value + (np.arange(2 * number, dtype=np.int64).reshape(number, 2) << 32)
-                sketch = raw.view(np.int64)[:, :SKETCH]
+                sketch = raw.view(np.int64)[:, :SENT]
                 each = lambda c, part=part: np.repeat(part.column(c).to_numpy(zero_copy_only=False), 2 * number)
-                cols = [key.reshape(-1), value[:, :, ::-1].reshape(-1), each("size"), each("node"), *(np.repeat(sketch[:, k], 2 * number) for k in range(SKETCH))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["key", "other", "size", "node", *(f"s{k}" for k in range(SKETCH))])
+                cols = [key.reshape(-1), value[:, :, ::-1].reshape(-1), each("size"), each("node"), *(np.repeat(sketch[:, k], 2 * number) for k in range(SENT))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["key", "other", "size", "node", *(f"s{k}" for k in range(SENT))])
 
     return run
 
@@ -334,7 +335,7 @@ def _candidates(half: int):
     crowd): never more rows than a few times the rows that came in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        most = reach()
+        most = reach(SENT)
 
         def done(key, other, size, node, sketch) -> pa.RecordBatch:
             start = np.cumsum(np.diff(key, axis=0, prepend=key[:1]).any(axis=1)).astype(np.int64)
@@ -358,7 +359,7 @@ def _candidates(half: int):
             if not batch.num_rows:
                 continue
             col = lambda c, batch=batch: batch.column(c).to_numpy(zero_copy_only=False)
-            rows = [np.stack([col("key"), col("tile")], axis=1), col("other"), col("size"), col("node"), *(col(f"s{k}") for k in range(SKETCH))]
+            rows = [np.stack([col("key"), col("tile")], axis=1), col("other"), col("size"), col("node"), *(col(f"s{k}") for k in range(SENT))]
             held = rows if held is None else [np.concatenate(x) for x in zip(held, rows, strict=True)]
             same = (held[0] == held[0][-1]).all(axis=1)
             last = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
@@ -380,8 +381,8 @@ def _decide(sets: pa.Table, pairs: pa.Table) -> pa.Table:
 
 
 def _crowd(members: pa.Table) -> pa.Table:
-    """A spanning forest of all pairs of a crowd that are alike, by their whole sets: each member is looked up once in
-    an index of the shingles of those that no member reached yet."""
+    """(a, b): of all that pairs of a crowd alike by their whole sets join, one and each of the others. Each member is
+    looked up once in an index of the shingles of those that no member reached yet."""
     found = dict(zip(members.column("node").to_pylist(), members.column("set").to_pylist(), strict=True))
     node, sets = np.array(list(found), np.int64), [np.frombuffer(x, np.uint64) for x in found.values()]
     m, size = len(node), np.array([len(x) for x in sets])
@@ -405,7 +406,7 @@ def _crowd(members: pa.Table) -> pa.Table:
             common = np.bincount(members_of[places], minlength=m)
             new = np.flatnonzero(rest & (UNDER * common >= OVER * (size[at] + size - common)))
             rest[new] = False
-            a.append(np.full(len(new), at))
+            a.append(np.full(len(new), start))
             b.append(new)
             front += new.tolist()
     none = np.empty(0, np.int64)
@@ -424,13 +425,50 @@ def _alike_pairs(pairs: DataFrame, sets: DataFrame, buckets: int) -> DataFrame:
     return sent.groupBy("place").cogroup(tiled.groupBy("tile")).applyInArrow(_decide, "a long, b long")
 
 
+def _sets(shingle: int):
+    """Rows of (cluster, node, text) to the text's set, of repeats in a task once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for at in range(0, batch.num_rows, STEP):
+                part = batch.slice(at, STEP)
+                new = [k for k, x in enumerate(part.column("node").to_pylist()) if not (x in seen or seen.add(x))]
+                part = part.take(pa.array(new, pa.int64()))
+                sets = pa.array([shingles(x, shingle).tobytes() for x in part.column("text").to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("cluster"), part.column("node"), sets], names=["cluster", "node", "set"])
+
+    return run
+
+
+def _clusters(pairs: DataFrame, crowds: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cluster, node, who, large) of each class that is in a pair or crowd: the cluster that these join, and whether it
+    is more than one task compares at once."""
+    first = crowds.groupBy("crowd").agg(F.min("node").alias("a"))
+    parts = connected_components(pairs.unionByName(crowds.join(first, "crowd").select("a", F.col("node").alias("b"))))
+    rows = checkpoint(parts.withColumnRenamed("component", "cluster").join(classes, "node").select("cluster", "node", "size", "who.*"))
+    much = F.greatest(F.count("*"), F.ceil(F.sum(F.col("size") * CROWD / HELD)))
+    large = rows.groupBy("cluster").agg(much.alias("n")).where(F.col("n") > CROWD).select("cluster", F.lit(True).alias("large"))
+    return checkpoint(rows.join(large, "cluster", "left").withColumn("large", F.coalesce("large", F.lit(False))))
+
+
+def _links_of_large(pairs: DataFrame, crowds: DataFrame, wanted: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links within clusters that no task can hold: pairs in tiles, and crowds each in a task."""
+    sets, mine = checkpoint(sets.dropDuplicates(["node"]).select("node", "set")), wanted.select("node")
+    pairs, crowds = checkpoint(pairs.join(mine, pairs["a"] == mine["node"], "left_semi")), crowds.join(mine, "node", "left_semi")
+    total = wanted.agg(F.coalesce(F.sum("size"), F.lit(0)) * 8).first()[0]
+    few = _alike_pairs(pairs, sets, max(1, -(-total // BUCKET), math.ceil(math.sqrt(2 * pairs.count() / TILE))))
+    return few.unionByName(crowds.join(sets, "node").select("crowd", "node", "set").groupBy("crowd").applyInArrow(_crowd, "a long, b long"))
+
+
 def near_copies(docs: DataFrame, shingle: int = WORDS) -> DataFrame:
     """(doc_id, h1, h2, group) of every row; rows of one group are joined by links, which are pairs of texts whose sets
     of word shingles have at least OVER / UNDER in common.
 
     Texts of equal sets are one class. Wordless texts are a class that links with nothing else. Few candidates with the
-    same variant are pairs; more are a crowd, whose sets meet in one task (of a pair of blocks, where a half segment has
-    many members) that finds a spanning forest of their links.
+    same variant are pairs; more are a crowd. What pairs and crowds join is a cluster, whose sets meet in one task that
+    finds all its links. Only where that is more than a task can hold, sets go to each tile of pairs and each crowd
+    (of a pair of blocks, where a half segment has many members) that they are in.
     """
     spark = docs.sparkSession
     half, number = cut(docs.count())
@@ -440,18 +478,22 @@ def near_copies(docs: DataFrame, shingle: int = WORDS) -> DataFrame:
     classes = rows.groupBy("node").agg(F.first("size").cast("long").alias("size"), F.first("print").alias("print"), F.min(F.struct("doc_id", "h1", "h2")).alias("who"))
     n = rows.count() * 2 * number
     classes = checkpoint(classes.repartition(tasks(spark, n), "node"))
-    halves = classes.where("size > 0").select("node", "size", "print").mapInArrow(_halves(half, number), "key long, other long, size long, node long, " + ", ".join(f"s{k} long" for k in range(SKETCH)))
+    halves = classes.where("size > 0").select("node", "size", "print").mapInArrow(_halves(half, number), "key long, other long, size long, node long, " + ", ".join(f"s{k} long" for k in range(SENT)))
     dealt = _dealt(halves, "node", CROWD, tasks(spark, n), F.col("size") * CROWD / HELD).sortWithinPartitions("key", "tile")
     found = checkpoint(dealt.mapInArrow(_candidates(half), "a long, b long, crowd long"))
     pairs = checkpoint(found.where("b is not null").select("a", "b").distinct())
     crowds = found.where("crowd is not null").select("crowd", F.col("a").alias("node"))
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(crowds.select("node")).distinct()
-    wanted = checkpoint(nodes.join(classes, "node").select("node", "size", "who.*"))
-    many, total = wanted.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0)) * 8).first()
+    wanted = _clusters(pairs, crowds, classes)
+    many, huge = wanted.agg(F.count("*"), F.count_if("large")).first()
     texts = docs.select(*identity(docs), "text")
-    whole = over_texts(lambda: lambda t: {"set": [shingles(x, shingle).tobytes() for x in t]}, "set binary", "text")
-    sets = checkpoint(texts.join(F.broadcast(wanted) if many <= FEW else wanted, same(texts, wanted)).select("node", "text").dropDuplicates(["node"]).select("node", whole["set"].alias("set")))
-    few = _alike_pairs(pairs, sets, max(1, -(-total // BUCKET), math.ceil(math.sqrt(2 * pairs.count() / TILE))))
-    links = few.unionByName(crowds.join(sets, "node").select("crowd", "node", "set").groupBy("crowd").applyInArrow(_crowd, "a long, b long"))
+
+    def sets(rows: DataFrame) -> DataFrame:
+        met = texts.join(F.broadcast(rows) if many <= FEW else rows, same(texts, rows)).select("cluster", "node", "text")
+        return met.mapInArrow(_sets(shingle), "cluster long, node long, set binary")
+
+    links = sets(wanted.where("not large")).groupBy("cluster").applyInArrow(_crowd, "a long, b long")
+    if huge:
+        large = wanted.where("large")
+        links = links.unionByName(_links_of_large(pairs, crowds, large, sets(large)))
     parts = connected_components(links)
     return rows.join(parts, "node", "left").select("doc_id", "h1", "h2", F.coalesce("component", "node").alias("group"))

@@ -112,6 +112,47 @@ def test_a_crowd_over_the_block(spark, monkeypatch):
     assert len(set(group.values())) == len(set(comp)) == len({(group[i], comp[i]) for i in range(len(rows))})
 
 
+def test_a_set_travels_once(spark, monkeypatch):
+    """Members of many crowds and pairs: their sets go to one place, where all links of their cluster are found."""
+    rnd = random.Random(3)
+    rows = []
+    for k in range(4):
+        base = [f"w{rnd.randrange(5000)}" for _ in range(150)]
+        for i in range(30):
+            words = list(base)
+            for at in rnd.sample(range(150), rnd.randrange(1, 4)):
+                words[at] = f"x{rnd.randrange(10**6)}"
+            rows.append((100 * k + i, " ".join(words), "s"))
+    rows += rows[:20]
+    came, crowd, decide = spark.sparkContext.accumulator(0), simhash._crowd, simhash._decide
+
+    def counted(members):
+        came.add(members.num_rows)
+        return crowd(members)
+
+    def decided(sets, pairs):
+        came.add(sets.num_rows)
+        return decide(sets, pairs)
+
+    monkeypatch.setattr(simhash, "_crowd", counted)
+    monkeypatch.setattr(simhash, "_decide", decided)
+    group = {(r.doc_id, r.h1): r.group for r in simhash.near_copies(spark.createDataFrame(rows, SCHEMA).repartition(1)).collect()}
+    assert len(group) == 120 and len(set(group.values())) == len(set(brute_groups(rows)))
+    assert 100 < came.value <= 120
+
+
+def test_what_goes_with_a_half_misses_few_pairs():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    far = 0
+    for _ in range(1000):
+        x = rng.integers(0, 2**64, 180, dtype=np.uint64)
+        raw = [np.frombuffer(simhash.wide(np.sort(y), simhash.SENT), np.uint64) for y in (x[:162], x[18:])]
+        far += np.bitwise_count(raw[0] ^ raw[1]).sum() > simhash.reach(simhash.SENT)
+    assert far <= 3
+
+
 def test_empty_table(spark):
     assert STAGE(spark, spark.createDataFrame([], SCHEMA), "").collect() == []
 

@@ -305,3 +305,26 @@ def test_tables_iterate_like_the_driver(spark, monkeypatch, weights):
     here = reg(df, "y ~ x + fe(g)*z + fe(h)", weights=weights)
     assert abs(here.iterations - there.iterations) <= 2 and here.converged and here.iterations <= 50
     assert np.allclose(here.coef, there.coef, rtol=1e-7) and np.allclose(here.stderror, there.stderror, rtol=1e-6, equal_nan=True)
+
+
+@pytest.mark.parametrize("formula, weights", [("y ~ x + fe(g)*z + fe(h)&fe(t)", "w"), ("y ~ x + fe(g)&fe(h) + fe(g)*z", None)])
+def test_two_sets_take_half_the_steps(spark, monkeypatch, formula, weights):
+    """Without broadcasts: one table of groups is written for two iterations of the driver's, to the same solution."""
+    from panelspark.operators import absorb
+
+    rng = np.random.default_rng(5)
+    n = 600
+    rows = [(float(a), float(b), float(3 + c), int(i // 6), int(rng.integers(30)), int(rng.integers(3)), float(d)) for i, (a, b, c, d) in enumerate(zip(rng.normal(size=n), rng.normal(size=n), rng.normal(size=n), rng.uniform(0.5, 2, n), strict=True))]
+    df = spark.createDataFrame(rows, "y double, x double, z double, g int, h int, t int, w double")
+    there = reg(df, formula, Robust(), weights=weights, save="all")
+    written, write = [], absorb.checkpoint
+    monkeypatch.setattr(absorb, "CELLS", 0)
+    monkeypatch.setattr(absorb, "BROADCAST", 0)
+    monkeypatch.setattr(absorb, "_prune_tables", lambda cells, keys, rule, f=absorb._prune_tables: (f(cells, keys, rule), written.clear())[0])
+    monkeypatch.setattr(absorb, "checkpoint", lambda table: written.append(1) or write(table))
+    here = reg(df, formula, Robust(), weights=weights, save="all")
+    assert here.converged and abs(here.iterations - there.iterations) <= 2 and len(written) <= 8 + here.iterations / 2
+    assert (here.nobs, here.n_singletons, here.dof_fes) == (there.nobs, there.n_singletons, there.dof_fes)
+    assert np.allclose(here.coef, there.coef, rtol=1e-7) and np.allclose(here.stderror, there.stderror, rtol=1e-6, equal_nan=True)
+    a, b = (sorted(tuple(r) for r in m.residuals().select("g", "h", "t", "y", "residual").collect() if r.residual is not None) for m in (here, there))
+    assert len(a) == len(b) and np.allclose(np.array(a), np.array(b), atol=1e-7)

@@ -204,6 +204,8 @@ CROWD, HELD = 4096, 4 << 20
 #: Bytes of sets that a task of pairs holds of each side, and pairs that it decides, on average; so many classes are
 #: broadcast at most to find their texts.
 BUCKET, TILE, FEW = 16 << 20, 4_000, 200_000
+#: Links that one task reduces to a forest.
+EDGES = 250_000
 #: Shingles that are hashed into a fingerprint at once.
 STEP = 512
 
@@ -441,11 +443,30 @@ def _sets(shingle: int):
     return run
 
 
-def _clusters(pairs: DataFrame, crowds: DataFrame, classes: DataFrame) -> DataFrame:
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a task's links as few as join what they join: each end with a smaller one that it reaches."""
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := above.get(x, x)) != x:
+            above[x] = x = above.get(y, y)
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            a, b = top(a), top(b)
+            if a != b:
+                above[max(a, b)] = min(a, b)
+    ends = list(above)
+    yield pa.RecordBatch.from_arrays([pa.array(ends, pa.int64()), pa.array([top(x) for x in ends], pa.int64())], names=["a", "b"])
+
+
+def _clusters(found: DataFrame, classes: DataFrame) -> DataFrame:
     """(cluster, node, who, large) of each class that is in a pair or crowd: the cluster that these join, and whether it
-    is more than one task compares at once."""
-    first = crowds.groupBy("crowd").agg(F.min("node").alias("a"))
-    parts = connected_components(pairs.unionByName(crowds.join(first, "crowd").select("a", F.col("node").alias("b"))))
+    is more than one task compares at once. A crowd's name stands as one more end of links; should it be a node's, two
+    clusters are one."""
+    links = found.select("a", F.coalesce("b", "crowd").alias("b")).coalesce(max(1, -(-found.count() // EDGES)))
+    parts = connected_components(links.mapInArrow(_forest, "a long, b long"))
     rows = checkpoint(parts.withColumnRenamed("component", "cluster").join(classes, "node").select("cluster", "node", "size", "who.*"))
     much = F.greatest(F.count("*"), F.ceil(F.sum(F.col("size") * CROWD / HELD)))
     large = rows.groupBy("cluster").agg(much.alias("n")).where(F.col("n") > CROWD).select("cluster", F.lit(True).alias("large"))
@@ -483,7 +504,7 @@ def near_copies(docs: DataFrame, shingle: int = WORDS) -> DataFrame:
     found = checkpoint(dealt.mapInArrow(_candidates(half), "a long, b long, crowd long"))
     pairs = checkpoint(found.where("b is not null").select("a", "b").distinct())
     crowds = found.where("crowd is not null").select("crowd", F.col("a").alias("node"))
-    wanted = _clusters(pairs, crowds, classes)
+    wanted = _clusters(found, classes)
     many, huge = wanted.agg(F.count("*"), F.count_if("large")).first()
     texts = docs.select(*identity(docs), "text")
 

@@ -153,6 +153,18 @@ def test_what_goes_with_a_half_misses_few_pairs():
     assert far <= 3
 
 
+def test_a_forest_joins_what_links_join(spark, monkeypatch):
+    """Many links between few ends are cut to fewer than the ends before components are sought."""
+    from panelspark.llm.components import connected_components
+
+    rnd = random.Random(6)
+    rows = [(100 * k + rnd.randrange(40), 100 * k + rnd.randrange(40)) for k in range(5) for _ in range(400)] + [(900, 901), (7000, 7000)]
+    links = spark.createDataFrame(rows, "a long, b long").coalesce(1)
+    cut = links.mapInArrow(simhash._forest, "a long, b long")
+    assert cut.count() < len({x for r in rows for x in r})
+    assert sorted(connected_components(cut).collect()) == sorted(connected_components(links).collect())
+
+
 def test_empty_table(spark):
     assert STAGE(spark, spark.createDataFrame([], SCHEMA), "").collect() == []
 

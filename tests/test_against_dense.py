@@ -328,3 +328,22 @@ def test_two_sets_take_half_the_steps(spark, monkeypatch, formula, weights):
     assert np.allclose(here.coef, there.coef, rtol=1e-7) and np.allclose(here.stderror, there.stderror, rtol=1e-6, equal_nan=True)
     a, b = (sorted(tuple(r) for r in m.residuals().select("g", "h", "t", "y", "residual").collect() if r.residual is not None) for m in (here, there))
     assert len(a) == len(b) and np.allclose(np.array(a), np.array(b), atol=1e-7)
+
+
+def test_two_sets_of_whole_keys_write_parts_not_rows(spark, monkeypatch):
+    """Pruning and solution of cells that stay on the executors: no table with a row for each cell is written."""
+    from panelspark.operators import absorb, blocks
+
+    rng = np.random.default_rng(3)
+    n = 300
+    rows = [(float(a), float(b), int(i // 4), int(rng.integers(60)) if i > 9 else 100 + (i + 1) // 2) for i, (a, b) in enumerate(zip(rng.normal(size=n), rng.normal(size=n), strict=True))]
+    df = spark.createDataFrame(rows, "y double, x double, g long, h int")
+    there = reg(df, "y ~ x + fe(g) + fe(h)")
+    written = []
+    for module, name in ((absorb, "checkpoint"), (blocks, "settled")):
+        monkeypatch.setattr(module, name, lambda table, f=getattr(module, name): (made := f(table), written.append(made.count()))[0])
+    monkeypatch.setattr(absorb, "CELLS", 0)
+    here = reg(df, "y ~ x + fe(g) + fe(h)")
+    assert there.n_singletons > 0 and (here.nobs, here.n_singletons, here.dof_fes) == (there.nobs, there.n_singletons, there.dof_fes)
+    assert np.allclose(here.coef, there.coef, rtol=1e-7) and here.converged
+    assert written and max(written) < n / 2
